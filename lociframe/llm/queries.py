@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality
 
 QUERIES = {
     "op5_host_quality": quality.query,
+    "op7_pack_windows": packing.query,
 }
 
 ORACLE_SQL = {
