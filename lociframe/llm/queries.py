@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import fingerprints, packing, quality
 
 QUERIES = {
+    "op3_scaled_fingerprints": fingerprints.query,
     "op5_host_quality": quality.query,
     "op7_pack_windows": packing.query,
 }
