@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing, quality
+from . import fingerprints, html, packing, quality
 
 QUERIES = {
     "op3_scaled_fingerprints": fingerprints.query,
     "op5_host_quality": quality.query,
+    "op6_dom_content": html.query,
     "op7_pack_windows": packing.query,
 }
 
