@@ -197,8 +197,9 @@ def labels_of(tree: Tree) -> np.ndarray:
     return out
 
 
-def fit(pages: list[str], steps: int = 60, rate: float = 0.5, spread: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Node and edge weights: gradient ascent on the log likelihood of labelled pages, with a Gaussian prior."""
+def fit(pages: list[str], steps: int = 60, rate: float = 0.5, hold: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Node and edge weights: gradient ascent on the log likelihood of labelled pages, with a Gaussian prior of precision
+    hold times the number of elements."""
     w0, e0 = prior()
     w, e = w0.copy(), e0.copy()
     data = []
@@ -216,8 +217,8 @@ def fit(pages: list[str], steps: int = 60, rate: float = 0.5, spread: float = 2.
             hit = (y == y[parents])[1:] - same[1:]
             ge += np.bincount(kinds[1:], weights=hit, minlength=len(e))
         total = sum(len(y) for *_, y in data)
-        w += rate * (gw / total - (w - w0) / (spread**2 * len(data)))
-        e += rate * (ge / total - (e - e0) / (spread**2 * len(data)))
+        w += rate * (gw / total - hold * (w - w0))
+        e += rate * (ge / total - hold * (e - e0))
     return w, e
 
 
