@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, packing, quality
+from . import fingerprints, html, packing, quality, toxicity
 
 QUERIES = {
     "op3_scaled_fingerprints": fingerprints.query,
     "op5_host_quality": quality.query,
     "op6_dom_content": html.query,
     "op7_pack_windows": packing.query,
+    "op8_toxicity": toxicity.query,
 }
 
 ORACLE_SQL = {
