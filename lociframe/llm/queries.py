@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, packing, quality, toxicity
+from . import fingerprints, html, minhash, packing, quality, toxicity
 
 QUERIES = {
+    "op2_hyperminhash": minhash.query,
     "op3_scaled_fingerprints": fingerprints.query,
     "op5_host_quality": quality.query,
     "op6_dom_content": html.query,
