@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+#: Odd multipliers of the words of a shingle, without linear relations between them.
+_PLACE = mix(np.arange(64, dtype=U64) * U64(0xA0761D6478BD642F) + U64(1)) | U64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -154,7 +156,7 @@ def shingles(hashes: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray,
     if len(hashes) >= k:
         rolled = np.zeros(len(hashes) - k + 1, dtype=U64)
         for j in range(k):
-            rolled += hashes[j : len(hashes) - k + 1 + j] * U64((0xA0761D6478BD642F * (2 * j + 3)) & (2**64 - 1) | 1)
+            rolled += hashes[j : len(hashes) - k + 1 + j] * _PLACE[j]
         full = np.flatnonzero(n_words >= k)
         c = counts[full]
         first = np.repeat(words[full] - np.concatenate(([0], np.cumsum(c)))[:-1], c)
