@@ -262,7 +262,11 @@ def main_text(df: DataFrame, weights: tuple[np.ndarray, np.ndarray], keep: tuple
 
 def train(pages: DataFrame, html: str = "html", limit: int = LABELLED_PAGES) -> tuple[np.ndarray, np.ndarray]:
     """Weights fitted on at most `limit` labelled pages, chosen by the hash of their markup."""
-    rows = pages.select(F.col(html).alias("h")).filter("h is not null and length(h) < 100000 and h like '%<article%'").orderBy(F.xxhash64("h"), "h").limit(limit).collect()
+    fit_for = pages.select(F.col(html).alias("h")).filter("h is not null and length(h) < 100000 and h like '%<article%'")
+    hashes = [r["x"] for r in fit_for.select(F.xxhash64("h").alias("x")).distinct().orderBy("x").limit(limit).collect()]
+    if not hashes:
+        return prior()
+    rows = fit_for.filter(F.xxhash64("h") <= hashes[-1]).dropDuplicates(["h"]).limit(limit).collect()
     return fit([r["h"] for r in rows])
 
 

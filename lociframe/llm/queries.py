@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, minhash, packing, quality, toxicity
+from . import fingerprints, html, minhash, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_hyperminhash": minhash.query,
     "op3_scaled_fingerprints": fingerprints.query,
+    "op4_crf_pii": pii.query,
     "op5_host_quality": quality.query,
     "op6_dom_content": html.query,
     "op7_pack_windows": packing.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_crf_pii": pii.query,
     "op5_host_quality": quality.ORACLE_SQL,
 }
