@@ -326,6 +326,32 @@ def find_pii(df: DataFrame, field: Field | None, keep: tuple[str, ...] = ("doc_i
     return slim.mapInArrow(run, schema + extra)
 
 
+def without_pii(df: DataFrame, field: Field | None, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """df with the spans of its texts masked; a length column, if there, follows. Null texts stay null."""
+    at = df.columns.index(text)
+    long = df.columns.index(length) if length in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = batch.column(at).to_pylist(), batch.column(long).to_pylist() if long is not None else None
+            hot = [i for i, t in enumerate(texts) if t and _SPECIAL.search(t)]
+            for lo in range(0, len(hot), 500):
+                part = hot[lo : lo + 500]
+                base = [base_spans(texts[i]) for i in part]
+                for i, b, a in zip(part, base, added_spans([texts[i] for i in part], base, field)):
+                    if a or b:
+                        texts[i] = masked(texts[i], b + a)
+                        if sizes is not None:
+                            sizes[i] = len(texts[i])
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if sizes is not None:
+                columns[long] = pa.array(sizes, batch.schema.field(long).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return find_pii(documents, train(documents))

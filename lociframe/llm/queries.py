@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, lm, minhash, packing, pii, quality, substrings, toxicity
+from . import fingerprints, html, lm, minhash, mixing, packing, pii, quality, substrings, toxicity
 
 QUERIES = {
     "op1_compact_windows": substrings.query,
+    "op9_target_mixing": mixing.query,
     "op10_interpolated_lm": lm.query,
     "op2_hyperminhash": minhash.query,
     "op3_scaled_fingerprints": fingerprints.query,
