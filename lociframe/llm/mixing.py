@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .tables import table, written
+from .tables import fresh, table, written
 from .text import U64, chunks, mix
 
 #: Labelled rows used for training, at most; steps, at most.
@@ -208,7 +208,8 @@ def thinned(df: DataFrame, model: DomainModel | None, keep_share: dict[str, floa
     if model is None:
         return df
     _, steps = _prepared(df, model, keep_share, key, text)
-    marked = df.withColumn("_text", F.col(text).cast("string")).withColumn("_unit", F.coalesce(_unit(key), F.lit(0.0)))
+    marked = df.withColumn(fresh(df, "_text"), F.col(text).cast("string"))
+    marked = marked.withColumn(fresh(marked, "_unit"), F.coalesce(_unit(key), F.lit(0.0)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")

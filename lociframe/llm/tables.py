@@ -27,3 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    name = stem
+    while name in df.columns:
+        name = f"_{name}"
+    return name
