@@ -7,7 +7,7 @@ documents. Empty tables, null texts and repeated rows pass through as the operat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lociframe.llm import minhash, mixing, packing, pii, toxicity
 from lociframe.llm.tables import table, written
@@ -21,9 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near-duplicates (five-word shingles); repeated rows of it once."""
-    found = minhash.near_duplicates(docs, words=5)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return minhash.without_near_duplicates(docs, words=5)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
