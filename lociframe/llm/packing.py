@@ -1,7 +1,7 @@
 """Order-preserving packing of documents into fixed-length training sequences by dynamic programming.
 
 Each input partition is one stream of documents in scan order. Cuts may fall at document ends (free), sentence ends
-(a small penalty) or, where neither lies within a window, inside a sentence (a large one). The best cuts minimise
+(a small penalty) or inside long sentences (a larger one). The best cuts minimise
 padding plus penalties; as the padding of a window is linear in its start, the best start within the last `length`
 tokens is the head of a monotone queue, so the plan costs O(cuts). Lengths that need no padding (powers of two) are
 tried as extra transitions. Nothing is gathered beyond one chunk of texts and the tail of an open window.
@@ -28,7 +28,9 @@ from .text import Chunk, chunks, span_hashes
 LENGTH = 1024
 END_ID = 0
 #: Token costs of a cut at a sentence end, of one inside a sentence, and of opening a sequence.
-SENTENCE_CUT, INNER_CUT, OPEN = 2, 96, 2
+SENTENCE_CUT, INNER_CUT, OPEN = 2, 12, 2
+#: Sentences of more tokens than this may also be cut inside, every so many tokens.
+LONG, INNER_STEP = 64, 16
 #: Window lengths without padding that are worth a sequence of their own.
 UNPADDED = (128, 256, 512)
 #: Distinct word forms whose ids a task remembers before it starts anew.
@@ -198,9 +200,10 @@ class Stream:
         one = np.concatenate(([True], pos[1:] != pos[:-1]))
         pos, cost = pos[one], cost[one]
         gap = np.diff(pos)
-        if (gap > self.length).any():  # a sentence longer than a window
-            far = np.flatnonzero(gap > self.length)
-            more = np.concatenate([np.arange(pos[i] + self.length, pos[i + 1], self.length) for i in far])
+        long, step = min(LONG, self.length), min(INNER_STEP, self.length)
+        far = np.flatnonzero(gap > long)
+        if len(far):
+            more = np.concatenate([np.arange(pos[i] + step, pos[i + 1], step) for i in far])
             pos, cost = np.concatenate((pos, more)), np.concatenate((cost, np.full(len(more), INNER_CUT)))
             order = np.argsort(pos, kind="stable")
             pos, cost = pos[order], cost[order]
