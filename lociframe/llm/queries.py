@@ -6,8 +6,6 @@ from . import fingerprints, html, lm, minhash, mixing, packing, pii, quality, su
 
 QUERIES = {
     "op1_compact_windows": substrings.query,
-    "op9_target_mixing": mixing.query,
-    "op10_interpolated_lm": lm.query,
     "op2_hyperminhash": minhash.query,
     "op3_scaled_fingerprints": fingerprints.query,
     "op4_crf_pii": pii.query,
@@ -15,9 +13,11 @@ QUERIES = {
     "op6_dom_content": html.query,
     "op7_pack_windows": packing.query,
     "op8_toxicity": toxicity.query,
+    "op9_target_mixing": mixing.query,
+    "op10_interpolated_lm": lm.query,
 }
 
 ORACLE_SQL = {
-    "op4_crf_pii": pii.query,
+    "op2_hyperminhash": minhash.ORACLE_SQL,
     "op5_host_quality": quality.ORACLE_SQL,
 }
