@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import table
-from .text import Chunk, chunks, span_hashes
+from .text import Chunk, chunks, release, span_hashes
 
 LENGTH = 1024
 END_ID = 0
@@ -253,6 +253,8 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                     yield out
         if (out := stream.take(True)) is not None:
             yield out
+        del encoder, stream
+        release()
 
     return df.selectExpr(f"cast(`{key}` as bigint) as doc_id", f"cast(`{text}` as string) as text").mapInArrow(place, PIECES)
 

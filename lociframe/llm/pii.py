@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .tables import table
-from .text import raw_chunks
+from .text import raw_chunks, release
 
 LABELLED = 1500
 
@@ -348,6 +348,8 @@ def without_pii(df: DataFrame, field: Field | None, text: str = "text", length:
             if sizes is not None:
                 columns[long] = pa.array(sizes, batch.schema.field(long).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            del texts, columns, batch
+            release()
 
     return df.mapInArrow(run, df.schema)
 
