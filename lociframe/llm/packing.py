@@ -34,7 +34,7 @@ LONG, INNER_STEP = 64, 16
 #: Window lengths without padding that are worth a sequence of their own.
 UNPADDED = (128, 256, 512)
 #: Distinct word forms whose ids a task remembers before it starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

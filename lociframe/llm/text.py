@@ -94,6 +94,7 @@ def string_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def release() -> None:
     """Gives freed memory back to the system. Python workers outlive their tasks and would keep it beside the next."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
