@@ -115,6 +115,35 @@ def test_repeated_passages_are_found(spark):
     assert whole >= set(range(6))
 
 
+def test_passages_whose_leader_holds_a_part_only(spark):
+    rows = []
+    for k in range(30):
+        passage = prose(5000 + k, 60)
+        rows.append((k, f"{prose(6000 + k, 40)} {' '.join(passage.split()[8:52])} {prose(7000 + k, 40)}"))
+        rows += [(1000 * j + k, f"{prose(8000 * j + k, 70)} {passage} {prose(9000 * j + k, 70)}") for j in (1, 2)]
+    got = substrings.passages(documents(spark, rows)).collect()
+    pairs = {(r["leader_doc_id"], r["doc_id"]) for r in got if r["first_word"] <= 70 and r["last_word"] >= 129}
+    assert pairs >= {(1000 + k, 2000 + k) for k in range(30)} and not {r["doc_id"] for r in got} & set(range(30))
+
+
+def test_rows_without_their_leader_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    passage = prose(41, 60)
+    rows = [(i, f"{prose(900 + i, 40)} {' '.join(passage.split()[8:52])} {prose(950 + i, 40)}") for i in range(12)]
+    rows += [(100 + i, f"{prose(300 + i, 60)} {passage} {prose(400 + i, 60)}") for i in range(6)]
+    assert {r["doc_id"] for r in substrings.passages(documents(spark, rows)).collect()} == set(range(100, 106))
+
+
+def test_joint_windows_hold_every_stretch_once():
+    rng = np.random.default_rng(4)
+    x, y = rng.permutation(60).astype(np.uint64), rng.permutation(60).astype(np.uint64)
+    windows = substrings.joint_windows(x, y, 7)
+    for i in range(60):
+        for j in range(i + 6, 60):
+            c, d = i + int(x[i : j + 1].argmin()), i + int(y[i : j + 1].argmin())
+            assert [(m, n) for l, m, r, n in windows if l <= i <= min(m, n) and max(m, n) <= j <= r] == [(c, d)]
+
+
 def test_compact_windows_hold_every_stretch_once():
     rng = np.random.default_rng(3)
     h = rng.permutation(60).astype(np.uint64)
