@@ -380,6 +380,22 @@ def test_rates_meet_targets(spark):
     assert rates.min() >= 0 and rates.max() <= 1 and np.allclose((a * rates[:, None]).sum(0), targets, rtol=2e-3)
 
 
+def test_a_few_long_documents_do_not_stop_the_fit(spark):
+    rng = np.random.default_rng(6)
+    low = np.concatenate((rng.beta(20, 1, 300), rng.beta(1, 60, 700), [0.5, 0.98, 0.02]))
+    n = np.concatenate((rng.integers(50, 900, 1000), [1_000_000] * 3))
+    a = np.stack((1 - low, low), 1) * n[:, None]
+    targets = a.sum(0) * [0.9, 0.5]
+    rates = mixing.rates_from(a, mixing.fit_rates(spark.createDataFrame([(x.tolist(),) for x in a], "a array<double>"), targets))
+    assert np.allclose((a * rates[:, None]).sum(0), targets, rtol=2e-3)
+    targets = a.sum(0) * [1.0, 0.5]  # out of reach: every document has a share of both
+    rates = mixing.rates_from(a, mixing.fit_rates(spark.createDataFrame([(x.tolist(),) for x in a], "a array<double>"), targets))
+    got = (a * rates[:, None]).sum(0) / targets
+    assert abs(got[1] - 1) < 0.002 and got[0] > 0.98
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(spark.createDataFrame([(x.tolist(),) for x in a], "a array<double>"), targets, max_steps=1)
+
+
 def test_mixing_thins_low_quality(spark, awkward, nothing):
     rows = [(i, prose(i, 120) if i % 2 else "### $$$ %%% " * 40 + str(i)) for i in range(400)]
     docs = documents(spark, rows)
