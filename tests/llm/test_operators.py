@@ -342,6 +342,14 @@ def test_disguised_words_are_restored_and_scored(spark, insults):
     assert got == {0: 1, 1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_sentences_spelt_out_are_read_word_by_word(spark, insults):
+    _, model = insults
+    long = "alpha beta gamma delta idiot epsilon zeta moron theta".replace(" ", "")
+    texts = [(0, " ".join(long)), (1, ".".join(long)), (2, "a l p h a  i d i o t  m o r o n"), (3, " ".join(long.replace("idiot", "sigma").replace("moron", "kappa")))]
+    got = {r["doc_id"]: r["e2"] for r in toxicity.with_evidence(documents(spark, texts), model, ["doc_id"], "text").collect()}
+    assert len(long) > 40 and got[0] >= 2 and got[1] >= 2 and got[2] >= 2 and got[3] == 0
+
+
 def test_toxicity_of_awkward_tables(spark, insults, awkward, nothing):
     _, model = insults
     assert toxicity.scored(awkward, model).count() == len(AWKWARD)
