@@ -93,6 +93,12 @@ class Tree(HTMLParser):
             pass
         return self
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown keyword or none: a bogus comment up to '>'
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.block += 1

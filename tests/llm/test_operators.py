@@ -261,6 +261,12 @@ def test_main_text(spark):
     assert got[1] == (text, len(text)) and got[2] == ("", 0) == got[3] and len(got) == 5
 
 
+def test_unknown_marked_sections_do_not_end_a_page():
+    for token in ("<![foo bar]>", "<![]>", "<![ 1 [x]]>"):
+        runs = html.Tree().read(f"<p>a</p>{token}<p>rest</p>").runs
+        assert [t for _, _, t in runs][0] == "a" and runs[-1][2] == "rest"
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
