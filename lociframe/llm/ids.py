@@ -75,3 +75,21 @@ def rows_without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     name = fresh(df, "_gone")
     gone = ids.toDF(name)
     return clear.unionByName(rest.join(gone, rest[key].cast("bigint") == gone[name], "left_anti"))
+
+
+def rows_with(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among ids (longs, one column)."""
+    name = fresh(df, "_wanted")
+    rest = split_rows(df, ids, key)[1]
+    wanted = ids.toDF(name)
+    return rest.join(wanted, rest[key].cast("bigint") == wanted[name], "left_semi")
+
+
+def unique_rows(docs: DataFrame) -> DataFrame:
+    """docs (id, t) with one row for each id that is not null: of rows that repeat an id, the one of least text."""
+    docs = docs.filter("id is not null")
+    twice = docs.groupBy("id").count().filter("count > 1").select("id")
+    if not twice.limit(1).count():
+        return docs
+    again = rows_with(docs, twice, "id").groupBy("id").agg(F.min("t").alias("t"))
+    return rows_without(docs, twice, "id").unionByName(again)
