@@ -1,28 +1,28 @@
-"""Language-model scores by deleted interpolation.
-
-The outcomes of a token are those of the base model: the words of the training texts, the end of a text, and one
-unknown word for all others. A known word is predicted by n-gram maximum-likelihood estimates, mixed: its own relative
-frequency (a unigram of words), and its spelling, a product of character estimates of orders 0 to ORDER - 1. The
-character orders are mixed with weights that depend on how often the context of ORDER - 1 characters was seen: the
-contexts are put into frequency buckets, each with a weight for every order. All weights, that of the unknown word
-too, are fitted by expectation-maximisation on held-out counts.
-
-Characters are CLASSES classes (the most frequent code points; one class for the rest, whose members share its mass
-evenly), so a table of character counts has CLASSES ** ORDER cells at most, whatever the corpus. Word counts are not
-bounded: they stay distributed. A task turns whole texts, a chunk at a time, into the chunk's distinct words and the
-texts that hold them, written once. The words go to hash ranges to be counted, where a hot word is one entry for each
-chunk, and only their counts come back to the chunks, which then score their texts whole: what is moved follows the
-number of words, not that of words times partitions.
+"""Language-model scores by deleted interpolation of word n-grams.
+
+The outcomes of a token are those of the base model: the words of the training texts, the end of a text, and one unknown
+word for all others. Given the token before (or the start of the text), an outcome's probability is a mixture of the
+bigram and the unigram maximum-likelihood estimates, a uniform one over known words, and all mass on the unknown word.
+Contexts are put into buckets by how often they were seen, each with weights of its own. The weights are fitted by
+expectation-maximisation on held-out counts: a part of the training texts is deleted from the counts (by a hash of its
+own, within the training texts) and predicted from the rest; the model itself then counts all training texts. Each
+estimate is a distribution, and so is the mixture. Texts that are not learnt from change nothing but their own scores.
+
+Counts are not bounded and stay distributed. A task turns whole texts, a chunk at a time, into the chunk's distinct words
+and word pairs, as hashes. These go to hash ranges to be counted, where a hot word is one entry for each chunk, and their
+counts come back to the chunks, whose texts are scored whole: what is moved follows the number of words. A range stands
+for BUCKET bytes of text on average, so memory follows CHUNK and BUCKET, not the input. Word keys have 64 bits, pair keys
+56, so of 10 ** 12 distinct pairs some 10 ** -5 share a count.
 
 Defined edge cases: a null or empty text has only its end token; rows with equal ids are texts of their own, each with
-its row; extra columns are ignored; without training rows, N and V are 0, the base is 0.1 / 0.1 for every token and
-the words' spelling is uniform.
+its row, null ids too; extra columns are ignored; without training rows, N and V are 0, every token is unknown and has
+probability 1, in the base model too; without deleted rows the weights are DEFAULT.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,339 +30,257 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .tables import table, written
-from .text import U64, Chunk, chunks, release
+from .text import U64, Chunk, find_words, mix, raw_chunks, release
 
-ORDER, CLASSES = 4, 64
 #: Upper bounds of the context counts of each bucket but the last.
 CONTEXT_BUCKETS = (0, 1, 3, 10, 30, 100, 300, 1000, 10_000)
-#: Bytes of text whose grams are counted at a time.
-GRAM_CHUNK = 1 << 20
+#: Weights of the bigram, the unigram, the uniform and the unknown-word estimate before they are fitted.
+DEFAULT = (0.4, 0.3, 0.2, 0.1)
+#: Bytes of text in a chunk; bytes of text that a hash range stands for.
+CHUNK, BUCKET = 2 << 20, 16 << 20
 #: Additive constant of the base model.
 ALPHA = 0.1
-#: The key of the end-of-text token: no word has it but by a chance of 2 ** -64.
-END = U64(0xE0D5E0D5E0D5E0D5)
-#: Code points that are neither a frequent class nor the end of a word, in all of Unicode.
-OTHERS = 1_114_112
-
-
-def _points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased bytes of a chunk and the byte offset of each."""
-    b = c.low
-    lead = np.flatnonzero((b & 0xC0) != 0x80)
-    x = b[lead].astype(np.int64)
-    pad = np.concatenate((b, np.zeros(4, np.uint8))).astype(np.int64) & 0x3F
-    two, three, four = (x >= 0xC0) & (x < 0xE0), (x >= 0xE0) & (x < 0xF0), x >= 0xF0
-    out = x.copy()
-    out[two] = (x[two] & 0x1F) << 6 | pad[lead[two] + 1]
-    out[three] = (x[three] & 0x0F) << 12 | pad[lead[three] + 1] << 6 | pad[lead[three] + 2]
-    out[four] = (x[four] & 0x07) << 18 | pad[lead[four] + 1] << 12 | pad[lead[four] + 2] << 6 | pad[lead[four] + 3]
-    return out, lead
-
-
-@dataclass
-class Alphabet:
-    """Class 0 ends and precedes words, class CLASSES - 1 is any other code point."""
-
-    points: np.ndarray  # sorted frequent code points
-
-    def classes(self, points: np.ndarray) -> np.ndarray:
-        if not len(self.points):
-            return np.full(len(points), CLASSES - 1)
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(self.points[at] == points, at + 1, CLASSES - 1)
-
-    def grams(self, c: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the ORDER-grams that spell each span (its characters, then the end), and their offsets by span."""
-        points, lead = _points(c)
-        k = self.classes(points)
-        s, e = np.searchsorted(lead, starts), np.searchsorted(lead, ends)
-        n = e - s + 1
-        offsets = np.concatenate(([0], np.cumsum(n)))
-        at = np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], n)  # place in the word
-        first = np.repeat(s, n)
-        last = at == np.repeat(n - 1, n)
-        k = np.concatenate((k, [0]))
-        code = np.zeros(len(at), np.int64)
-        for back in range(ORDER - 1, -1, -1):
-            inside = at >= back
-            x = np.where(inside, k[np.minimum(first + at - back, len(k) - 1)], 0)
-            if back == 0:
-                x = np.where(last, 0, x)
-            code = code * CLASSES + x
-        return code, offsets
-
-
-@dataclass
-class SpellingModel:
-    alphabet: Alphabet
-    codes: np.ndarray  # int32, sorted: the ORDER-grams seen in training
-    counts: np.ndarray  # float32
-    weights: np.ndarray  # context bucket x order
-
-    def __post_init__(self):
-        self._tables = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_tables": None}
-
-    def tables(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Counts of the grams of orders below the highest, and of the contexts of all orders."""
-        if self._tables is None:
-            full = []
-            for order in range(ORDER - 1):
-                cells = CLASSES ** (order + 1)
-                full.append(np.bincount(self.codes % cells, weights=self.counts, minlength=cells))
-            contexts = [full[o].reshape(-1, CLASSES).sum(1) for o in range(ORDER - 1)]
-            contexts.append(np.bincount(self.codes // CLASSES, weights=self.counts, minlength=CLASSES ** (ORDER - 1)))
-            self._tables = full, contexts
-        return self._tables
-
-    def estimates(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of each order (columns: uniform, order 0, ... ORDER - 1) for each gram, and its context bucket."""
-        full, contexts = self.tables()
-        out = np.zeros((len(code), ORDER + 1))
-        out[:, 0] = 1 / CLASSES
-        for order in range(ORDER):
-            low = code % CLASSES ** (order + 1)
-            total = contexts[order][low // CLASSES]
-            if order < ORDER - 1:
-                count = full[order][low]
-            else:
-                at = np.minimum(np.searchsorted(self.codes, low), max(len(self.codes) - 1, 0))
-                count = np.where(self.codes[at] == low, self.counts[at], 0.0) if len(self.codes) else np.zeros(len(low))
-            out[:, order + 1] = np.divide(count, total, out=np.zeros(len(code)), where=total > 0)
-        return out, np.searchsorted(CONTEXT_BUCKETS, contexts[ORDER - 1][code // CLASSES], side="left")
-
-    def logs(self, c: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each span's spelling."""
-        if not len(starts):
-            return np.zeros(0)
-        code, offsets = self.alphabet.grams(c, starts, ends)
-        key, inverse = np.unique(code, return_inverse=True)
-        p, bucket = self.estimates(key)
-        logs = np.log10((p * self.weights[bucket]).sum(1)) - np.where(key % CLASSES == CLASSES - 1, np.log10(OTHERS), 0.0)
-        return np.add.reduceat(logs[inverse], offsets[:-1])
-
-
-def fit_weights(model: SpellingModel, codes: np.ndarray, held: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Mixture weights by context bucket: expectation-maximisation on held-out gram counts."""
-    n = len(CONTEXT_BUCKETS) + 1
-    w = np.full((n, ORDER + 1), 1 / (ORDER + 1))
-    if not len(codes) or not held.sum():
-        return w
-    p, bucket = model.estimates(codes)
-    for _ in range(steps):
-        r = p * w[bucket]
-        r *= (held / r.sum(1))[:, None]
-        new = np.stack([np.bincount(bucket, weights=r[:, i], minlength=n) for i in range(ORDER + 1)], 1) + 1e-3
-        w = new / new.sum(1, keepdims=True)
-    return w
-
-
-def _point_counts(df: DataFrame) -> list[tuple[int, int]]:
-    """The CLASSES - 2 most frequent code points of all words."""
+#: Keys of the end and the start of a text: no word has them but by a chance of 2 ** -64.
+END, START = U64(0xE0D5E0D5E0D5E0D5), U64(0x57A2757A2757A275)
+#: Training rows that are learnt from and also deleted in turn; rows that are not learnt from.
+DELETED, HELD = 1, 2
+
+
+class Tokens:
+    """The tokens of a chunk, its distinct words (start and end too) and word pairs, sorted by key."""
+
+    def __init__(self, c: Chunk):
+        n = c.hi - c.lo
+        lengths = c.n_words + 1
+        stop = np.cumsum(lengths)
+        self.doc = np.repeat(np.arange(n), lengths)
+        tokens = np.empty(int(stop[-1]), U64)
+        ends = np.zeros(len(tokens), bool)
+        ends[stop - 1] = True
+        tokens[ends], tokens[~ends] = END, c.hashes
+        before = np.empty(len(tokens), U64)
+        before[1:] = tokens[:-1]
+        before[stop - lengths] = START
+        self.words, place = np.unique(np.concatenate((tokens, [START])), return_inverse=True)
+        self.word = place[:-1]
+        self.context = np.empty(len(tokens), np.int64)
+        self.context[1:] = self.word[:-1]
+        self.context[stop - lengths] = place[-1]
+        self.pairs, self.first, self.pair = np.unique(mix(tokens * U64(0x9E3779B97F4A7C15) + mix(before)) >> U64(8), return_index=True, return_inverse=True)
+        self.start = int(place[-1])
+
+    def counts(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the words and pairs in the texts marked in use."""
+        mine = use[self.doc]
+        words = np.bincount(self.word[mine], minlength=len(self.words))
+        words[self.start] = use.sum()
+        return words, np.bincount(self.pair[mine], minlength=len(self.pairs))
+
+
+def packed(x: np.ndarray, width: int = 0) -> bytes:
+    """Non-negative integers as bytes in planes (first all lowest bytes), as many planes as the largest one needs."""
+    width = width or max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    width = b[0]
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray, pa.Array, Chunk]]:
+    """(number, deleted, roles, keys, chunk without its words) of batches of t, role, key: deleted rows have chunks of their
+    own. A number stands for the place and the content of a chunk, so another pass can't mistake it."""
+    part, serial = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        roles = batch.column(1).to_numpy(zero_copy_only=False)
+        for deleted in (False, True):
+            rows = np.flatnonzero((roles == DELETED) == deleted)
+            for c in raw_chunks(batch.column(0).take(pa.array(rows)), CHUNK):
+                mine = rows[c.lo : c.hi]
+                number = mix(np.array([part, serial, zlib.crc32(c.data), zlib.crc32(c.offsets.tobytes())], np.int64).view(U64))
+                number = mix(number * np.array([3, 5, 7, 11], U64)).sum(dtype=U64, keepdims=True)
+                yield int(number.view(np.int64)[0]), deleted, roles[mine], batch.column(2).take(pa.array(mine)), c
+                serial += 1
+
+
+_SENT = "bucket int, chunk long, deleted boolean, words binary, n binary, pairs binary, m binary"
+_BACK = "chunk long, bucket int, deleted boolean, n binary, m binary, rest_n binary, rest_m binary, stat string, value long"
+
+
+def _counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """Training counts of every chunk's words and pairs, in the order of their keys, by bucket: of all training rows, and
+    for deleted chunks also without deleted rows; and, as rows without a chunk, N and V of both (written)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(OTHERS, np.int64)
-        for batch in batches:
-            for c in chunks(batch.column(0)):
-                total += np.bincount(_points(c)[0], minlength=OTHERS)[:OTHERS]
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["p", "n"])
-
-    counts = df.select("t").mapInArrow(run, "p long, n long").filter("p > 32").groupBy("p").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "p").limit(CLASSES - 2).collect()
-
-
-def _gram_counts(df: DataFrame, alphabet: Alphabet) -> list:
-    """(code, training count, held-out count) of all spelling grams."""
-
-    def merged(parts: list[np.ndarray]) -> np.ndarray:
-        """Rows of (code, training, held-out) with equal codes summed."""
-        rows = np.concatenate(parts)
-        key, inverse = np.unique(rows[:, 0], return_inverse=True)
-        return np.stack([key, *[np.bincount(inverse, weights=rows[:, i], minlength=len(key)).astype(np.int64) for i in (1, 2)]], 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        parts, size = [np.zeros((0, 3), np.int64)], 0
-        for batch in batches:
-            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for c in chunks(batch.column(0), GRAM_CHUNK):
-                doc = np.repeat(held[c.lo : c.hi], c.n_words)
-                for i, part in enumerate((~doc, doc)):
-                    if part.any():
-                        code, _ = alphabet.grams(c, c.starts[part], c.ends[part])
-                        key, n = np.unique(code, return_counts=True)
-                        zero = np.zeros_like(key)
-                        parts.append(np.stack([key, zero, n] if i else [key, n, zero], 1))
-                        size += len(key)
-                if size > 1 << 20:
-                    parts = [merged(parts)]
-                    size = 0
-        total = merged(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(total[:, i]) for i in range(3)], names=["code", "n", "held"])
-
-    return df.select("t", "held").mapInArrow(run, "code long, n long, held long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).toPandas()
-
-
-def spelling_model(df: DataFrame) -> SpellingModel:
-    """df: t and held. Its counts cover all rows; both tables have at most CLASSES ** ORDER rows."""
-    alphabet = Alphabet(np.sort(np.array([r["p"] for r in _point_counts(df)], np.int64)))
-    grams = _gram_counts(df, alphabet)
-    code, n, held = (grams[c].to_numpy(np.int64) for c in ("code", "n", "held"))
-    order = np.argsort(code)
-    code, n, held = code[order], n[order], held[order]
-    model = SpellingModel(alphabet, code[n > 0].astype(np.int32), n[n > 0].astype(np.float32), np.zeros(0))
-    model.weights = fit_weights(model, code[held > 0], held[held > 0])
-    return model
-
-
-def _words_of(c: Chunk, held: np.ndarray, model: SpellingModel):
-    """Distinct tokens of a chunk: keys, count in training texts, count in held-out texts, spelling log10; and each
-    token's place among them and text."""
-    doc = np.concatenate((np.repeat(np.arange(c.hi - c.lo), c.n_words), np.arange(c.hi - c.lo)))
-    hashes = np.concatenate((c.hashes, np.full(c.hi - c.lo, END)))
-    key, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    spell = np.zeros(len(key))
-    word = first < len(c.hashes)
-    spell[word] = model.logs(c, c.starts[first[word]], c.ends[first[word]])
-    spell[~word] = -30.0  # the end token has no spelling: it is always seen
-    h = held[doc]
-    return key, np.bincount(inverse[~h], minlength=len(key)), np.bincount(inverse[h], minlength=len(key)), spell, inverse, doc
-
-
-#: A spelling is sent as this many steps for each unit of log10, in 16 bits.
-STEPS = 1000
-CHUNK = 2 << 20
-_CHUNKED = {"chunk": "bigint", "ids": "binary", "keys": "binary", "n": "binary", "held": "binary", "spell": "binary", "texts_of": "binary", "text": "binary", "times": "binary"}
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Counts as 32-bit numbers, plane by plane of their bytes: the upper planes are nearly all zero and pack away."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _large(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _chunk_rows(df: DataFrame, model: SpellingModel) -> DataFrame:
-    """One row for each chunk: its texts, its distinct words in the order of their keys, and which text holds which."""
+        cut = np.arange(buckets + 1, dtype=np.float64) / buckets
+        bounds = [(cut[1:-1] * 2.0**bits).astype(U64) for bits in (64, 56)]
+        for number, deleted, roles, _, c in _chunked(batches):
+            t = Tokens(find_words(c))
+            n, m = t.counts(roles != HELD)
+            edges = [np.concatenate(([0], np.searchsorted(k, b), [len(k)])) for k, b in zip((t.words, t.pairs), bounds)]
+            out = [(b, number, deleted, packed(t.words[s:e], 8), packed(n[s:e]), packed(t.pairs[u:v], 7), packed(m[u:v])) for b, (s, e, u, v) in enumerate(zip(edges[0][:-1].tolist(), edges[0][1:].tolist(), edges[1][:-1].tolist(), edges[1][1:].tolist())) if e > s or v > u]
+            types = (pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out), types)], names=[x.split()[0] for x in _SENT.split(", ")])
+        release()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            ids = np.stack([batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False), held], 1).astype(np.int64)
-            for c in chunks(batch.column(0), CHUNK):
-                size = c.hi - c.lo
-                key, n, m, spell, inverse, doc = _words_of(c, held[c.lo : c.hi], model)
-                pair, times = np.unique(inverse.astype(np.int64) * size + doc, return_counts=True)
-                per_word = np.bincount(pair // size, minlength=len(key))
-                row = [number, ids[c.lo : c.hi].tobytes(), key.tobytes(), _small(n), _small(m), np.clip(-spell * STEPS, 0, 65535).astype(np.uint16).tobytes(), _small(per_word), _small(pair % size), _small(times)]
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=[*_CHUNKED])
+    def count(group: pa.Table) -> pa.Table:
+        chunk, deleted = group.column("chunk").to_pylist(), np.array(group.column("deleted").to_pylist())
+        stats: dict[str, int] = {}
+        sides = []
+        for keys, n in (("words", "n"), ("pairs", "m")):
+            parts = [unpacked(x) for x in group.column(keys).to_pylist()]
+            sizes = np.array([len(x) for x in parts])
+            key, place = np.unique(np.concatenate(parts), return_inverse=True)
+            times = np.concatenate([unpacked(x) for x in group.column(n).to_pylist()]).astype(np.int64)
+            gone = np.repeat(deleted, sizes)
+            total, rest = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            np.add.at(total, place, times)
+            np.add.at(rest, place[~gone], times[~gone])
+            if keys == "words":
+                real = key != START
+                stats = {"N": int(total[real].sum()), "V": int((total[real] > 0).sum()), "rest N": int(rest[real].sum()), "rest V": int((rest[real] > 0).sum())}
+            ends = np.cumsum(sizes)
+            sides.append([(packed(total[place[e - s : e]]), packed(rest[place[e - s : e]]) if d else None) for s, e, d in zip(sizes.tolist(), ends.tolist(), deleted.tolist())])
+        bucket = group.column("bucket")[0].as_py()
+        rows = [(c, bucket, d, n, m, rn, rm, None, None) for c, d, (n, rn), (m, rm) in zip(chunk, deleted.tolist(), *sides)]
+        rows += [(None, bucket, None, None, None, None, None, k, v) for k, v in stats.items()]
+        types = (pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 4, pa.string(), pa.int64())
+        return pa.table({x.split()[0]: pa.array(v, y) for x, v, y in zip(_BACK.split(", "), zip(*rows), types)})
 
-    return df.select("t", "held", "key").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in _CHUNKED.items()))
+    return written(docs.mapInArrow(deal, _SENT).groupBy("bucket").applyInArrow(count, _BACK), "lm-counts")
 
 
-#: Cells of the histogram of log10 (training count / spelling estimate) that the word weights are fitted on.
-CELLS, CELL = 4000, 0.02
+_TEXTS = "chunk long, keys array<bigint>, roles binary, data binary, offsets binary"
 
 
-def _counted(rows: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of every chunk's words: chunk, bucket, counts, in the order of its keys; and, as rows without
-    a chunk, statistics of the bucket: cell -1 V, cell -2 N, other cells held-out tokens (cell 0: word not seen)."""
+def _with_counts(docs: DataFrame, counts: DataFrame, n: str, m: str, parts: int, only_deleted: bool = False) -> DataFrame:
+    """_TEXTS of docs with the counts n and m of their chunks, range by range."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(U64)
-        for batch in batches:
-            for chunk, keys, n, held, spell in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                keys, n, held, spell = np.frombuffer(keys, U64), _large(n), _large(held), np.frombuffer(spell, np.uint16)
-                at = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
-                out = [(b, chunk, keys[s:e].tobytes(), _small(n[s:e]), _small(held[s:e]), spell[s:e][held[s:e] > 0].tobytes()) for b, (s, e) in enumerate(zip(at[:-1], at[1:])) if e > s]
-                cols = list(zip(*out)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "chunk", "keys", "n", "held", "spell"])
-            release()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for number, deleted, roles, keys, c in _chunked(batches):
+            if only_deleted and not deleted:
+                continue
+            columns = [pa.array([number]), pa.array([keys.to_pylist()], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in (roles.astype(np.int8), c.data, c.offsets)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _TEXTS.split(", ")])
+        release()
+
+    sent = docs.mapInArrow(send, _TEXTS).repartition(parts, "chunk")
+    back = counts.select("chunk", F.struct("bucket", F.col(n).alias("n"), F.col(m).alias("m")).alias("c")).repartition(parts, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return sent.join(back, "chunk", "left").select("keys", "roles", "data", "offsets", F.col("c.n").alias("n"), F.col("c.m").alias("m"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, Tokens, np.ndarray, np.ndarray]]:
+    """(keys, roles, tokens, word counts, pair counts) of each chunk of _with_counts."""
+    np.seterr(over="ignore")
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, roles, data, offsets, n, m = (x[i].as_py() for x in batch.columns)
+            if n is None:
+                raise RuntimeError("texts came in another order than when they were counted; write the table first")
+            offsets = np.frombuffer(offsets, np.int64)
+            t = Tokens(find_words(Chunk(0, len(offsets) - 1, np.frombuffer(data, np.uint8), offsets)))
+            yield keys, np.frombuffer(roles, np.int8), t, *[np.concatenate([unpacked(x) for x in parts]).astype(np.float64) for parts in (n, m)]
+        release()
+
+
+#: Cells of log10 of an estimate over the uniform one, in which predictions of deleted rows are counted; cell 0: not seen.
+CELLS, CELL, LOWEST = 400, 0.05, -10.0
+
+
+def _cell(ratio: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        x = np.clip(np.round((np.log10(ratio) - LOWEST) / CELL), 0, CELLS - 2)
+    return np.where(ratio > 0, 1 + np.nan_to_num(x, neginf=0), 0).astype(np.int64)
+
+
+def estimates(t: Tokens, n: np.ndarray, m: np.ndarray, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct pair: the bigram, unigram, uniform and unknown-word estimate, and the bucket of its context; and the
+    counts of its second word."""
+    context, word = n[t.context[t.first]], n[t.word[t.first]]
+    p = np.zeros((len(m), 4))
+    np.divide(m, context, out=p[:, 0], where=context > 0)
+    p[:, 1] = word / max(total, 1)
+    p[:, 2] = (word > 0) / max(vocabulary, 1)
+    p[:, 3] = word == 0
+    return p, np.searchsorted(CONTEXT_BUCKETS, context, side="left"), word
+
+
+def interpolation_weights(hist: dict[tuple[int, int, int], int], steps: int = 100) -> np.ndarray:
+    """Weights by context bucket and estimate, by expectation-maximisation; hist: tokens by bucket and cells of the bigram
+    and the unigram over the uniform estimate, (bucket, -1, -1) those of unknown words."""
+    out = np.tile(np.array(DEFAULT), (len(CONTEXT_BUCKETS) + 1, 1))
+    value = lambda cell: np.where(cell > 0, 10.0 ** (LOWEST + (cell - 1) * CELL), 0.0)
+    for b in range(len(out)):
+        rows = np.array([(x, y, k) for (a, x, y), k in hist.items() if a == b and x >= 0], float).reshape(-1, 3)
+        unknown = hist.get((b, -1, -1), 0)
+        seen = rows[:, 2].sum()
+        if seen + unknown:
+            rate = (unknown + 0.5) / (seen + unknown + 1)
+            w = np.full(3, 1 / 3)
+            p = np.stack((value(rows[:, 0]), value(rows[:, 1]), np.ones(len(rows))), 1)
+            for _ in range(steps if seen else 0):
+                r = p * w
+                r *= (rows[:, 2] / r.sum(1))[:, None]
+                w = (r.sum(0) + 0.01) / (seen + 0.03)
+            out[b] = np.concatenate((w * (1 - rate), [rate]))
+    out[0, 0] = 0.0  # a context that was never seen has no bigram estimate
+    return out / out.sum(1, keepdims=True)
+
+
+def _deleted_predictions(docs: DataFrame, counts: DataFrame, total: int, vocabulary: int, parts: int) -> dict[tuple[int, int, int], int]:
+    """Tokens of deleted rows by bucket and cells, predicted from the other training rows; (buckets * CELLS ** 2) at most."""
 
-    def count(group: pa.Table) -> pa.Table:
-        chunk, keys, n, held, spell = (group.column(c).to_pylist() for c in ("chunk", "keys", "n", "held", "spell"))
-        sizes = [len(k) // 8 for k in keys]
-        _, inverse = np.unique(np.frombuffer(b"".join(keys), U64), return_inverse=True)
-        n, m = np.concatenate([_large(x) for x in n]), np.concatenate([_large(x) for x in held]).astype(np.float64)
-        total = np.bincount(inverse, weights=n)
-        own = total[inverse]
-        use = m > 0
-        with np.errstate(divide="ignore"):
-            ratio = np.log10(own[use]) + np.frombuffer(b"".join(spell), np.uint16) / STEPS
-        cell = np.where(own[use] > 0, np.clip(np.nan_to_num(ratio / CELL, neginf=1).round(), 1, CELLS - 1), 0).astype(np.int64)
-        hist = np.bincount(cell, weights=m[use], minlength=CELLS)
-        at = np.flatnonzero(hist)
-        ends = np.cumsum(sizes)
-        bucket = group.column("bucket")[0].as_py()
-        rows = [(c, bucket, _small(own[e - s : e]), None, None) for c, s, e in zip(chunk, sizes, ends)]
-        rows += [(None, bucket, None, -1, int((total > 0).sum())), (None, bucket, None, -2, int(total.sum())), *[(None, bucket, None, int(i), int(hist[i])) for i in at]]
-        return pa.table({k: pa.array(x, t) for k, x, t in zip(("chunk", "bucket", "counts", "cell", "n"), zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, t, n, m in _rows(batches):
+            p, bucket, word = estimates(t, n, m, total, vocabulary)
+            times = np.bincount(t.pair, minlength=len(m))
+            known = word > 0
+            code = np.where(known, (bucket * CELLS + _cell(p[:, 0] * vocabulary)) * CELLS + _cell(p[:, 1] * vocabulary), -1 - bucket)
+            key, place = np.unique(code, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place, weights=times).astype(np.int64))], names=["code", "n"])
 
-    dealt = rows.select("chunk", "keys", "n", "held", "spell").mapInArrow(deal, "bucket int, chunk long, keys binary, n binary, held binary, spell binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "chunk long, bucket int, counts binary, cell long, n long")
+    rows = _with_counts(docs, counts.filter("deleted"), "rest_n", "rest_m", parts, True)
+    got = rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    return {((c // CELLS // CELLS, c // CELLS % CELLS, c % CELLS) if c >= 0 else (-1 - c, -1, -1)): r for c, r in got}
 
 
-def word_weights(hist: np.ndarray, n_train: int, steps: int = 60) -> tuple[float, float, float]:
-    """Weights of the word estimate, the spelling and the unknown word: expectation-maximisation on held-out tokens."""
-    total = hist.sum()
+def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; held: rows not learnt from.
+
+    The table is read several times and must come in the same order each time, as files do (else it raises).
+    """
+    deleted = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("deleted")), F.lit(10)) == 0
+    role = F.when(F.coalesce(held, F.lit(False)), HELD).when(deleted, DELETED).otherwise(0)
+    docs = df.select(F.col(text).cast("string").alias("t"), role.cast("int").alias("role"), F.col(key).cast("bigint").alias("key"))
+    size = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    buckets, parts = max(64, size // BUCKET), max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
+    counts = _counted(docs, buckets)
+    stats = {r["stat"]: r["n"] for r in counts.filter("chunk is null").groupBy("stat").agg(F.sum("value").alias("n")).collect()}
+    total, vocabulary = stats.get("N", 0), stats.get("V", 0)
+    counts = counts.filter("chunk is not null")
+    weights = interpolation_weights(_deleted_predictions(docs, counts, stats.get("rest N", 0), stats.get("rest V", 0), parts))
     if not total:
-        return 0.6, 0.3, 0.1
-    unknown = (hist[0] + 0.5) / (total + 1)
-    ratio = 10.0 ** (np.arange(CELLS) * CELL - np.log10(max(n_train, 1)))
-    known, w = hist.copy(), 0.5
-    known[0] = 0
-    for _ in range(steps if known.sum() else 0):
-        w = float((known * (w * ratio / (w * ratio + 1 - w))).sum() / known.sum())
-        w = min(max(w, 1e-6), 1 - 1e-6)
-    return (1 - unknown) * w, (1 - unknown) * (1 - w), unknown
-
-
-def _scores(rows: DataFrame, counts: DataFrame, n_train: int, vocabulary: int, weights: tuple[float, float, float]) -> DataFrame:
-    """key, held, tokens, known, base and score of every text: each chunk with the counts of its words."""
-    parts = counts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("parts"))
-    both = rows.select("chunk", "ids", "spell", "texts_of", "text", "times").join(parts, "chunk").select("ids", "spell", "texts_of", "text", "times", F.col("parts.counts").alias("counts"))
-    scale = np.log10(n_train + ALPHA * (vocabulary + 1))
+        weights = np.tile([0.0, 0.0, 0.0, 1.0], (len(weights), 1))
+    scale = np.log10(total + ALPHA * (vocabulary + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, spell, texts_of, text, times, parts in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-                ids, count = np.frombuffer(ids, np.int64).reshape(-1, 2), np.concatenate([_large(x) for x in parts]).astype(np.float64)
-                known = weights[0] * count / max(n_train, 1) + weights[1] * 10.0 ** (np.frombuffer(spell, np.uint16) / -STEPS)
-                score = np.log10(np.where(count > 0, known, weights[2]))
-                word = np.repeat(np.arange(len(count)), _large(texts_of))
-                text, times = _large(text).astype(np.int64), _large(times).astype(np.float64)
-                sums = [np.bincount(text, weights=x, minlength=len(ids)) for x in (times, times * (count > 0)[word], times * (np.log10(count + ALPHA) - scale)[word], times * score[word])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1] > 0), *[pa.array(x.astype(np.int64)) for x in sums[:2]], *[pa.array(x) for x in sums[2:]]], names=["key", "held", "tokens", "known", "base", "score"])
-            release()
-
-    return both.mapInArrow(run, "key long, held boolean, tokens long, known long, base double, score double")
-
-
-def score_texts(df: DataFrame, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; held: rows not learnt from."""
-    docs = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).cast("string").alias("t"))
-    buckets = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(_chunk_rows(docs, spelling_model(docs)), "lm-chunks")
-    counts = written(_counted(rows, buckets), "lm-counts")
-    hist, totals = np.zeros(CELLS), {-1: 0, -2: 0}
-    for r in counts.filter("chunk is null").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS + 2 rows at most
-        if r["cell"] < 0:
-            totals[r["cell"]] = r["n"]
-        else:
-            hist[r["cell"]] = r["n"]
-    vocabulary, n_train = totals[-1], totals[-2]
-    out = _scores(rows, counts.filter("chunk is not null"), n_train, vocabulary, word_weights(hist, n_train))
+        for keys, roles, t, n, m in _rows(batches):
+            p, bucket, word = estimates(t, n, m, total, vocabulary)
+            score = np.log10((p * weights[bucket]).sum(1))
+            base = np.log10(word + ALPHA) - scale
+            tokens, known, base, score = (np.bincount(t.doc, weights=x[t.pair], minlength=len(keys)) for x in (np.ones(len(m)), word > 0, base, score))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles == HELD), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["key", "held", "tokens", "known", "base", "score"])
+
+    out = _with_counts(docs, counts, "n", "m", parts).mapInArrow(run, "key long, held boolean, tokens long, known long, base double, score double")
     return out.select(
         F.col("key").alias(key), F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
-        F.lit(n_train).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score",
+        F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
 
 
