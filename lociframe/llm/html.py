@@ -1,30 +1,37 @@
 """Main text of web pages: a tree-structured graphical model over the DOM.
 
 Every element is a binary variable (inside the main content or not). Node potentials come from tag, class words, link
-density and text length; edge potentials couple a parent and its child by the child's kind. Sum-product messages go up
-and then down the tree, once each, and give exact marginals; a text belongs to the page's content if the marginal of
-its element is over one half. The weights are fitted by gradient steps on the exact likelihood of labelled pages,
-around a prior that knows the usual meaning of tags and class words, so kinds that the labelled pages lack keep it.
+density, text length, sentence ends, and hashes of the tag and the class as written; edge potentials couple a parent and
+its child by the child's kind. Sum-product messages go up and then down the trees of many pages at once, level by level,
+and give exact marginals; a text belongs to the page's content if the marginal of its element is over one half.
+
+The weights are fitted by gradient steps on the likelihood of labelled pages, around a prior that knows the usual meaning
+of tags and class words, so kinds that the labelled pages lack keep it. Labels come from texts, not from markup: a block of
+text is content if its word shingles occur in a table of reference texts, which pages may share articles with. Short blocks
+beside content are left open, and summed out by messages as well; so are elements without text of their own.
 
 Defined edge cases: null or empty html gives an empty text; broken markup is read as far as it goes (unclosed elements
-end with their parent; a bare end tag is ignored); repeated rows each give a row; extra columns are ignored.
+end with their parent; a bare end tag is ignored); repeated rows each give a row; extra columns are ignored; without
+labelled pages the prior's weights are used.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .tables import table
+from .text import U64, chunks, shingles
 
-#: Pages that the weights are fitted on, at most.
-LABELLED_PAGES = 400
+#: Pages that the weights are fitted on, at most; words in a shingle that is looked for in reference texts; cells that tags
+#: and classes as written are hashed into; pages whose messages are sent together.
+LABELLED_PAGES, WORDS, CELLS, TOGETHER = 400, 5, 64, 64
 
 # Kinds of elements by tag name, and by the words of their class and id.
 KINDS = {
@@ -52,7 +59,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose end tag may be left out: they end where one of these begins.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-FEATURES = [*KINDS, "inline", *CLASS_WORDS, "links", "long", "bias"]
+FEATURES = [*KINDS, "inline", *CLASS_WORDS, "links", "long", "stops", "bias", *[f"cell {i}" for i in range(CELLS)]]
 AT = {x: i for i, x in enumerate(FEATURES)}
 KIND_OF_TAG = {t: k for k, tags in KINDS.items() for t in tags.split()}
 KIND_OF_WORD = {w: k for k, words in CLASS_WORDS.items() for w in words.split()}
@@ -67,14 +74,18 @@ COUPLING = {"main": 0.5, "frame": 1.5, "apart": 0.05}
 STRONG = 5.0
 
 
+def _cell(name: str) -> int:
+    return AT["cell 0"] + zlib.crc32(name.encode("utf-8", "replace")) % CELLS
+
+
 class Node:
-    __slots__ = ("tag", "parent", "kids", "features", "kind", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "features", "kind", "chars", "link_chars", "stops")
 
     def __init__(self, tag: str, parent: int):
-        self.tag, self.parent, self.kids = tag, parent, []
+        self.tag, self.parent = tag, parent
         self.kind = KIND_OF_TAG.get(tag, "inline")
-        self.features: list[int] = [AT[self.kind]]
-        self.chars = self.link_chars = 0
+        self.features: list[int] = [AT[self.kind], _cell(tag)]
+        self.chars = self.link_chars = self.stops = 0
 
 
 class Tree(HTMLParser):
@@ -116,8 +127,7 @@ class Tree(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 kinds = {KIND_OF_WORD[w] for w in re.split(r"[^a-z]+", value.lower()) if w in KIND_OF_WORD}
-                node.features += [AT[k] for k in kinds]
-        self.nodes[self.open[-1]].kids.append(len(self.nodes))
+                node.features += [AT[k] for k in kinds] + sorted({_cell(f"{name}={w}") for w in value.lower().split()})
         self.open.append(len(self.nodes))
         self.nodes.append(node)
 
@@ -136,105 +146,165 @@ class Tree(HTMLParser):
         self.runs.append((self.open[-1], self.block, data))
 
 
-def describe(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node features (rows in page order: parents before children), parents, kinds."""
-    nodes = tree.nodes
-    for at, _, data in tree.runs:
-        nodes[at].chars += len(data) - data.count(" ")
-    linked = [False] * len(nodes)
-    for i, n in enumerate(nodes):
-        linked[i] = n.tag == "a" or (n.parent >= 0 and linked[n.parent])
-    for i in range(len(nodes) - 1, -1, -1):
-        n = nodes[i]
-        if linked[i]:
-            n.link_chars = n.chars
-        if n.parent >= 0:
-            nodes[n.parent].chars += n.chars
-            nodes[n.parent].link_chars += n.link_chars
-    x = np.zeros((len(nodes), len(FEATURES)))
-    for i, n in enumerate(nodes):
-        x[i, n.features] = 1
-        x[i, AT["links"]] = n.link_chars / n.chars if n.chars else 0
-        x[i, AT["long"]] = min(n.chars, 200) / 200
-    x[:, AT["bias"]] = 1
-    return x, np.array([n.parent for n in nodes]), np.array([EDGE_AT["apart" if APART.intersection(n.features) else n.kind] for n in nodes])
-
-
-def marginals(score: np.ndarray, parents: np.ndarray, coupling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(content) of each node and P(node agrees with its parent), by messages up and then down the tree.
+class Forest:
+    """The elements of some pages, one after the other, parents before children; features as (element, feature, value)."""
+
+    def __init__(self, trees: list[Tree]):
+        node, feature, value, parents, kinds, self.first = [], [], [], [], [], [0]
+        for tree in trees:
+            nodes, base = tree.nodes, self.first[-1]
+            for at, _, data in tree.runs:
+                nodes[at].chars += len(data) - data.count(" ")
+                nodes[at].stops += data.count(".") + data.count(",")
+            linked = [False] * len(nodes)
+            for i, n in enumerate(nodes):
+                linked[i] = n.tag == "a" or (n.parent >= 0 and linked[n.parent])
+            for i in range(len(nodes) - 1, -1, -1):
+                n = nodes[i]
+                if linked[i]:
+                    n.link_chars = n.chars
+                if n.parent >= 0:
+                    up = nodes[n.parent]
+                    up.chars, up.link_chars, up.stops = up.chars + n.chars, up.link_chars + n.link_chars, up.stops + n.stops
+            for i, n in enumerate(nodes):
+                own = [*n.features, AT["bias"], AT["long"], AT["links"], AT["stops"]]
+                node += [base + i] * len(own)
+                feature += own
+                value += [1.0] * (len(own) - 3) + [min(n.chars, 200) / 200, n.link_chars / n.chars if n.chars else 0.0, min(20 * n.stops / n.chars, 1.0) if n.chars else 0.0]
+                parents.append(base + n.parent if n.parent >= 0 else -1)
+                kinds.append(EDGE_AT["apart" if APART.intersection(n.features) else n.kind])
+            self.first.append(base + len(nodes))
+        self.node, self.feature, self.value = np.array(node, np.int64), np.array(feature, np.int64), np.array(value)
+        self.parents, self.kinds = np.array(parents, np.int64), np.array(kinds, np.int64)
+        self.levels = levels(self.parents)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.node, weights=self.value * w[self.feature], minlength=len(self.parents))
+
+
+def levels(parents: np.ndarray) -> list[np.ndarray]:
+    """Elements by their depth below their root."""
+    depth: list[int] = []
+    for p in parents.tolist():
+        depth.append(depth[p] + 1 if p >= 0 else 0)
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if depth else []
+
+
+def marginals(score: np.ndarray, parents: np.ndarray, coupling: np.ndarray, by_level: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(content) of each node and P(node agrees with its parent), by messages up and then down the trees.
 
     Messages are log odds. score: log odds of each node alone; coupling: log weight of agreeing with the parent.
     """
-    n = len(score)
-    own = score.tolist()
-    agree = np.exp(coupling).tolist()
-    up = [0.0] * n
-    par = parents.tolist()
-    for i in range(n - 1, 0, -1):
-        odds = _exp(own[i])
-        up[i] = log((agree[i] * odds + 1) / (odds + agree[i]))
-        own[par[i]] += up[i]
-    belief = own[:]
-    same = [1.0] * n
-    for i in range(1, n):
-        cavity = belief[par[i]] - up[i]
-        rest = _exp(cavity)
-        odds = _exp(own[i])
-        both, neither, only_parent, only_child = agree[i] * rest * odds, agree[i], rest, odds
-        same[i] = (both + neither) / (both + neither + only_parent + only_child)
-        belief[i] = own[i] + log((agree[i] * rest + 1) / (rest + agree[i]))
-    return 1 / (1 + np.exp(-np.clip(belief, -40, 40))), np.array(same)
-
-
-def _exp(x: float) -> float:
-    return exp(30.0 if x > 30 else -30.0 if x < -30 else x)
+    by_level = levels(parents) if by_level is None else by_level
+    exp = lambda x: np.exp(np.clip(x, -30, 30))
+    own, up, agree = score.astype(float), np.zeros(len(score)), np.exp(coupling)
+    for at in by_level[:0:-1]:
+        odds = exp(own[at])
+        up[at] = np.log((agree[at] * odds + 1) / (odds + agree[at]))
+        np.add.at(own, parents[at], up[at])
+    belief, same = own.copy(), np.ones(len(score))
+    for at in by_level[1:]:
+        rest, odds = exp(belief[parents[at]] - up[at]), exp(own[at])
+        agreeing = agree[at] * (rest * odds + 1)
+        same[at] = agreeing / (agreeing + rest + odds)
+        belief[at] = own[at] + np.log((agree[at] * rest + 1) / (rest + agree[at]))
+    return 1 / (1 + np.exp(-np.clip(belief, -40, 40))), same
 
 
 def prior() -> tuple[np.ndarray, np.ndarray]:
     return np.array([PRIOR.get(f, 0.0) for f in FEATURES]), np.array([COUPLING.get(e, STRONG) for e in EDGES])
 
 
-def labels_of(tree: Tree) -> np.ndarray:
-    """Labels of a page with semantic markup: content is what lies in its article and in no other kind of region."""
-    out = np.zeros(len(tree.nodes), bool)
-    for i, n in enumerate(tree.nodes[1:], 1):
-        bad = n.kind in ("nav", "header", "footer", "aside", "form", "hidden") or any(AT[k] in n.features for k in ("c_menu", "c_notice", "c_ad", "c_social"))
-        out[i] = (n.kind == "main" or out[n.parent]) and not bad
+def blocks_of(tree: Tree) -> list[tuple[list[int], np.ndarray]]:
+    """Runs of text that is not hidden, short ones of a block together, and the hashes of their word shingles (none if they
+    are short together, too)."""
+    hidden = _hidden(tree)
+    runs: list[list[int]] = []
+    joins = False
+    for i, (at, block, data) in enumerate(tree.runs):
+        if data.strip() and not hidden[at]:
+            short = len(data.split()) < WORDS
+            if joins and short and tree.runs[runs[-1][-1]][1] == block:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+            joins = short
+    hashes: list[np.ndarray] = []
+    for c in chunks(pa.array(["".join(tree.runs[i][2] for i in range(x[0], x[-1] + 1)) for x in runs], pa.string())):
+        h, offsets = shingles(c.hashes, c.words, WORDS)
+        hashes += [h[s:e] if n >= WORDS else h[:0] for s, e, n in zip(offsets[:-1], offsets[1:], c.n_words)]
+    return list(zip(runs, hashes))
+
+
+def _hidden(tree: Tree) -> list[bool]:
+    out = [False] * len(tree.nodes)
+    for i, n in enumerate(tree.nodes):
+        out[i] = n.tag in ("head", "script", "style", "noscript", "template") or (n.parent >= 0 and out[n.parent])
+    return out
+
+
+def labels_of(tree: Tree, blocks: list[tuple[list[int], np.ndarray]], known: np.ndarray) -> np.ndarray:
+    """1 or 0 for elements that are content or not, -1 for open ones; known: sorted hashes of reference texts' shingles.
+
+    What is hidden is no content. A block is content if half of its shingles are known; its runs' elements are, too. Short
+    blocks are open beside content and no content elsewhere.
+    """
+    states = []
+    for _, x in blocks:
+        hit = known[np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))] == x if len(known) else np.zeros(len(x), bool)
+        states.append(int(2 * hit.sum() >= len(x)) if len(x) else -1)
+    following, last = [0] * len(states), 0
+    for i in range(len(states) - 1, -1, -1):
+        following[i] = last
+        last = states[i] if states[i] >= 0 else last
+    share: dict[int, list[int]] = {}
+    last = 0
+    for (runs, _), state, after in zip(blocks, states, following):
+        if state < 0 and not (last or after):
+            state = 0
+        elif state >= 0:
+            last = state
+        if state >= 0:
+            for i in runs:
+                share.setdefault(tree.runs[i][0], [0, 0])[state] += len(tree.runs[i][2])
+    out = np.full(len(tree.nodes), -1)
+    for at, (no, yes) in share.items():
+        out[at] = int(yes >= no)
+    out[[i for i, x in enumerate(_hidden(tree)) if x]] = 0
     return out
 
 
-def fit(pages: list[str], steps: int = 60, rate: float = 0.5, hold: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Node and edge weights: gradient ascent on the log likelihood of labelled pages, with a Gaussian prior of precision
-    hold times the number of elements."""
+def fit(trees: list[Tree], labels: list[np.ndarray], steps: int = 60, rate: float = 0.5, hold: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Node and edge weights: gradient ascent on the log likelihood of labelled pages (open elements are summed out), with
+    a Gaussian prior of precision hold times the number of elements."""
     w0, e0 = prior()
     w, e = w0.copy(), e0.copy()
-    data = []
-    for html in pages:
-        tree = Tree().read(html)
-        if any(n.kind == "main" for n in tree.nodes):
-            data.append((*describe(tree), labels_of(tree)))
-    if not data:
+    if not trees:
         return w, e
+    f, y = Forest(trees), np.concatenate(labels)
+    given = np.select([y == 1, y == 0], [1e3, -1e3], 0.0)
+    inner = np.flatnonzero(f.parents >= 0)
     for _ in range(steps):
-        gw, ge = np.zeros_like(w), np.zeros_like(e)
-        for x, parents, kinds, y in data:
-            p, same = marginals(x @ w, parents, e[kinds])
-            gw += x.T @ (y - p)
-            hit = (y == y[parents])[1:] - same[1:]
-            ge += np.bincount(kinds[1:], weights=hit, minlength=len(e))
-        total = sum(len(y) for *_, y in data)
-        w += rate * (gw / total - hold * (w - w0))
-        e += rate * (ge / total - hold * (e - e0))
+        score = f.scores(w)
+        free, free_same = marginals(score, f.parents, e[f.kinds], f.levels)
+        held, held_same = marginals(np.where(y < 0, score, given), f.parents, e[f.kinds], f.levels)
+        gw = np.bincount(f.feature, weights=f.value * (held - free)[f.node], minlength=len(w))
+        ge = np.bincount(f.kinds[inner], weights=(held_same - free_same)[inner], minlength=len(e))
+        w += rate * (gw / len(y) - hold * (w - w0))
+        e += rate * (ge / len(y) - hold * (e - e0))
     return w, e
 
 
-def content(html: str, weights: tuple[np.ndarray, np.ndarray]) -> str:
-    """Text of the elements that are likely content, one line for each block."""
-    if not html:
-        return ""
-    tree = Tree().read(html)
-    x, parents, kinds = describe(tree)
-    p, _ = marginals(x @ weights[0], parents, weights[1][kinds])
+def contents(pages: list[str], weights: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    """For each page, the text of the elements that are likely content, one line for each block."""
+    trees = [Tree().read(h) for h in pages]
+    f = Forest(trees)
+    p, _ = marginals(f.scores(weights[0]), f.parents, weights[1][f.kinds], f.levels)
+    return [_text(tree, p[s:e].tolist()) for tree, s, e in zip(trees, f.first[:-1], f.first[1:])]
+
+
+def _text(tree: Tree, p: list[float]) -> str:
     blocks: list[str] = []
     parts: list[str] = []
     at = -1
@@ -257,25 +327,50 @@ def main_text(df: DataFrame, weights: tuple[np.ndarray, np.ndarray], keep: tuple
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [content(h or "", weights) for h in part.column(len(keep)).to_pylist()]
+            for lo in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(lo, TOGETHER)
+                texts = contents([h or "" for h in part.column(len(keep)).to_pylist()], weights)
                 columns = [*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
 
     return slim.mapInArrow(extract, schema)
 
 
-def train(pages: DataFrame, html: str = "html", limit: int = LABELLED_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights fitted on at most `limit` labelled pages, chosen by the hash of their markup."""
-    fit_for = pages.select(F.col(html).alias("h")).filter("h is not null and length(h) < 100000 and h like '%<article%'")
+def _known(texts: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """The hashes of wanted (sorted; those of LABELLED_PAGES pages) that are shingles of texts (t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        seen = np.zeros(len(wanted), bool)
+        for batch in batches:
+            for c in chunks(batch.column(0)):
+                h, _ = shingles(c.hashes, c.words, WORDS)
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                seen[at[wanted[at] == h]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["i"])
+
+    return wanted[np.sort(np.array([r["i"] for r in texts.mapInArrow(run, "i long").distinct().collect()], np.int64))]
+
+
+def train(pages: DataFrame, texts: DataFrame, html: str = "html", text: str = "text", limit: int = LABELLED_PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights fitted on at most `limit` pages, chosen by the hash of their markup, that share articles with texts."""
+    fit_for = pages.select(F.col(html).cast("string").alias("h")).filter("h is not null and length(h) < 100000")
     hashes = [r["x"] for r in fit_for.select(F.xxhash64("h").alias("x")).distinct().orderBy("x").limit(limit).collect()]
     if not hashes:
         return prior()
-    rows = fit_for.filter(F.xxhash64("h") <= hashes[-1]).dropDuplicates(["h"]).limit(limit).collect()
-    return fit([r["h"] for r in rows])
+    rows = fit_for.filter(F.xxhash64("h") <= hashes[-1]).dropDuplicates(["h"]).orderBy(F.xxhash64("h"), "h").limit(limit).collect()
+    np.seterr(over="ignore")
+    trees = [Tree().read(r["h"]) for r in rows]
+    blocks = [blocks_of(t) for t in trees]
+    wanted = np.unique(np.concatenate([np.zeros(0, U64), *[x for b in blocks for _, x in b]]))
+    if not len(wanted):
+        return prior()
+    known = _known(texts.select(F.col(text).cast("string").alias("t")), wanted)
+    labels = [labels_of(t, b, known) for t, b in zip(trees, blocks)]
+    shared = [i for i, y in enumerate(labels) if (y == 1).any()]
+    return fit([trees[i] for i in shared], [labels[i] for i in shared])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return main_text(pages, train(pages))
+    return main_text(pages, train(pages, table(spark, sf_dir, "documents")))
