@@ -4,15 +4,17 @@ Each input partition is one stream of documents in scan order. Cuts may fall at
 (a small penalty) or inside long sentences (a larger one). The best cuts minimise
 padding plus penalties; as the padding of a window is linear in its start, the best start within the last `length`
 tokens is the head of a monotone queue, so the plan costs O(cuts). Lengths that need no padding (powers of two) are
-tried as extra transitions. Nothing is gathered beyond one chunk of texts and the tail of an open window.
+tried as extra transitions. After each chunk of texts, the cuts that the best plans of all continuations share are placed,
+and only what follows them is held; so a stream's plan does not depend on the chunks.
 
 Defined edge cases: a null or empty text is its end token alone; repeated rows and ids are packed as often as they
-occur; extra columns are ignored; an empty table gives no pieces.
+occur, rows with a null id too (their pieces have a null id); extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,9 +41,11 @@ CACHE = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def best_cuts(pos: list[int], penalty: list[int], length: int = LENGTH, unpadded: tuple[int, ...] = UNPADDED) -> list[int]:
-    """Indexes into pos of the cheapest cuts, first and last included; neighbours in pos lie within length."""
+def best_backs(pos: list[int], penalty: list[int], length: int = LENGTH, unpadded: tuple[int, ...] = UNPADDED) -> list[int]:
+    """For each index into pos, that of the cut before it in the cheapest plan up to it; neighbours in pos lie within
+    length."""
     n = len(pos)
+    unpadded = tuple(x for x in unpadded if x <= length)
     cost, back = [0] * n, [0] * n
     at = {p: i for i, p in enumerate(pos)}
     queue: deque[tuple[int, int]] = deque([(pos[0], 0)])  # (cost + position, index), increasing
@@ -61,12 +65,34 @@ def best_cuts(pos: list[int], penalty: list[int], length: int = LENGTH, unpadded
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    out = [n - 1]
+    return back
+
+
+def path(back: list[int], end: int) -> list[int]:
+    out = [end]
     while out[-1]:
         out.append(back[out[-1]])
     return out[::-1]
 
 
+def best_cuts(pos: list[int], penalty: list[int], length: int = LENGTH, unpadded: tuple[int, ...] = UNPADDED) -> list[int]:
+    """Indexes into pos of the cheapest cuts, first and last included; neighbours in pos lie within length."""
+    return path(best_backs(pos, penalty, length, unpadded), len(pos) - 1)
+
+
+def settled(pos: list[int], back: list[int], length: int) -> int:
+    """The last cut that the best plans of all continuations share: those go on from cuts in the last `length` tokens."""
+    live = {i for i in range(len(pos) - 1, -1, -1) if pos[i] > pos[-1] - length}
+    heap = [-i for i in live]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        before = back[-heapq.heappop(heap)]
+        if before not in live:
+            live.add(before)
+            heapq.heappush(heap, -before)
+    return -heap[0]
+
+
 @functools.cache
 def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 characters stand for
@@ -183,43 +209,41 @@ class Stream:
     def __init__(self, length: int, part: int):
         self.length, self.sequence = length, part << 33
         self.ids = np.zeros(0, np.uint32)
-        self.docs = np.zeros((0, 3), np.int64)  # doc id, ids already placed, ids in all
-        self.soft = np.zeros(0, np.int64)  # positions after sentence ends
-
-    def add(self, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, soft: np.ndarray) -> None:
-        self.soft = np.concatenate((self.soft, soft + len(self.ids)))
-        self.ids = np.concatenate((self.ids, ids))
-        self.docs = np.concatenate((self.docs, np.stack((doc_ids, np.zeros_like(lengths), lengths), 1)))
-
-    def cuts(self) -> np.ndarray:
-        ends = np.cumsum(self.docs[:, 2] - self.docs[:, 1])
-        pos = np.concatenate(([0], ends, self.soft))
-        cost = np.concatenate(([0], np.zeros(len(ends), np.int64), np.full(len(self.soft), SENTENCE_CUT)))
+        self.docs = np.zeros((0, 4), np.int64)  # doc id, whether it has one, ids already placed, ids in all
+        self.pos, self.cost = np.zeros(0, np.int64), np.zeros(0, np.int64)  # where cuts may fall, and what they cost
+
+    def add(self, ids: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray, soft: np.ndarray) -> None:
+        """soft: positions after sentence ends."""
+        ends = np.cumsum(lengths)
+        pos = np.concatenate(([0], ends, soft))
+        cost = np.concatenate(([0], np.zeros(len(ends), np.int64), np.full(len(soft), SENTENCE_CUT)))
         order = np.lexsort((cost, pos))
         pos, cost = pos[order], cost[order]
         one = np.concatenate(([True], pos[1:] != pos[:-1]))
         pos, cost = pos[one], cost[one]
-        gap = np.diff(pos)
         long, step = min(LONG, self.length), min(INNER_STEP, self.length)
-        far = np.flatnonzero(gap > long)
+        far = np.flatnonzero(np.diff(pos) > long)
         if len(far):
             more = np.concatenate([np.arange(pos[i] + step, pos[i + 1], step) for i in far])
             pos, cost = np.concatenate((pos, more)), np.concatenate((cost, np.full(len(more), INNER_CUT)))
             order = np.argsort(pos, kind="stable")
             pos, cost = pos[order], cost[order]
-        return pos[best_cuts(pos.tolist(), cost.tolist(), self.length)]
+        self.pos, self.cost = np.concatenate((self.pos, pos[1:] + len(self.ids))), np.concatenate((self.cost, cost[1:]))
+        self.ids = np.concatenate((self.ids, ids))
+        known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+        self.docs = np.concatenate((self.docs, np.stack((doc_ids.fill_null(0).to_numpy(zero_copy_only=False), known, np.zeros_like(lengths), lengths), 1)))
 
     def take(self, final: bool) -> pa.RecordBatch | None:
         """The pieces of all windows that later documents can't change; all of them if final."""
         if not len(self.ids):
             return None
-        windows = self.cuts()
-        if not final:
-            windows = windows[:-1]
+        pos = [0, *self.pos.tolist()]
+        back = best_backs(pos, [0, *self.cost.tolist()], self.length)
+        windows = np.array([pos[i] for i in path(back, len(pos) - 1 if final else settled(pos, back, self.length))])
         done = int(windows[-1])
         if not done:
             return None
-        left = self.docs[:, 2] - self.docs[:, 1]
+        left = self.docs[:, 3] - self.docs[:, 2]
         begin = np.cumsum(left) - left
         edges = np.union1d(windows, begin[begin < done])
         start, stop = edges[:-1], edges[1:]
@@ -227,13 +251,15 @@ class Stream:
         window = np.searchsorted(windows, start, side="right") - 1
         raw = memoryview(self.ids.astype("<u4").view(np.uint8))
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), stop.tolist())]
-        columns = [self.docs[doc, 0], self.docs[doc, 1] + start - begin[doc], stop - start, crc, self.docs[doc, 2], self.sequence + window, start - windows[window]]
-        out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=[x.split()[0] for x in PIECES.split(", ")])
+        columns = [self.docs[doc, 2] + start - begin[doc], stop - start, crc, self.docs[doc, 3], self.sequence + window, start - windows[window]]
+        doc_id = pa.array(self.docs[doc, 0], pa.int64(), mask=self.docs[doc, 1] == 0)
+        out = pa.RecordBatch.from_arrays([doc_id, *[pa.array(x, pa.int64()) for x in columns]], names=[x.split()[0] for x in PIECES.split(", ")])
         self.sequence += len(windows) - 1
-        self.ids = self.ids[done:]
-        self.soft = self.soft[self.soft > done] - done
+        self.ids = self.ids[done:].copy()
+        later = self.pos > done
+        self.pos, self.cost = self.pos[later] - done, self.cost[later]
         keep = begin + left > done
-        self.docs[:, 1] += np.clip(done - begin, 0, left)
+        self.docs[:, 2] += np.clip(done - begin, 0, left)
         self.docs = self.docs[keep]
         return out
 
@@ -245,10 +271,9 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         np.seterr(over="ignore")
         encoder, stream = Encoder(tokenizer), Stream(length, TaskContext.get().partitionId())
         for batch in batches:
-            doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1), lower=False):
                 ids, lengths, soft = encoder.encode(c)
-                stream.add(ids, doc_ids[c.lo : c.hi], lengths, soft)
+                stream.add(ids, batch.column(0).slice(c.lo, c.hi - c.lo), lengths, soft)
                 if (out := stream.take(False)) is not None:
                     yield out
         if (out := stream.take(True)) is not None:
