@@ -4,7 +4,8 @@ Only DataFrame functions: per-document counts inside each row, host failure rate
 groupBy, an empirical beta prior fitted to those rates by moments, and the host verdict joined back.
 
 Defined edge cases: a null text has no words and fails the rules; a null host gets no verdict (its documents are
-judged alone); repeated rows are judged and counted once each; an empty table gives an empty result.
+judged alone); repeated rows are judged and counted once each; an empty table gives an empty result. The query takes
+`source` as the host of a document: the table has no address, and a source is what its documents come from.
 """
 
 from __future__ import annotations
@@ -20,31 +21,18 @@ MAX_HOST_RATE = 0.5
 #: Fixed values of the rules: white space and symbol characters.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Positions share a 64-bit sort key with the upper bits of their hash up to this many windows in a text.
-_PACKED = 1 << 24
 
 
-def _repeated_words(h: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more; h: the window hashes in order.
+def _repeated_words() -> Column:
+    """Words covered by windows whose hash (in `_s`, null if all differ) occurs twice or more.
 
-    Windows are sorted within the row so that equal hashes become neighbours: n log n for any text.
+    Windows are sorted within the row, with their places, so that equal hashes become neighbours: n log n for any text.
     """
-
-    def covered(s: Column, pos, same) -> Column:
-        hit = F.filter(s, lambda v, i: same(v, F.get(s, i - 1)) | same(v, F.get(s, i + 1)))
-        near = F.transform(hit, lambda v: F.array(pos(v), pos(v) + 1, pos(v) + 2))
-        return F.size(F.array_distinct(F.flatten(near)))
-
-    at = lambda v: v.bitwiseAND(F.lit(_PACKED - 1))
-    equal = lambda v, w: F.coalesce(F.get(h, at(v).cast("int")) == F.get(h, at(w).cast("int")), F.lit(False))
-    wide_equal = lambda v, w: F.coalesce(v["x"] == w["x"], F.lit(False))
-    wide = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i"))))
-    return (
-        F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0))
-        .when(F.size(h) < _PACKED, covered(F.col("_s"), at, equal))
-        .otherwise(covered(wide, lambda v: v["i"], wide_equal))
-        .cast("bigint")
-    )
+    s = F.col("_s")
+    same = lambda v, w: F.coalesce(v["x"] == w["x"], F.lit(False))
+    hit = F.filter(s, lambda v, i: same(v, F.get(s, i - 1)) | same(v, F.get(s, i + 1)))
+    near = F.transform(hit, lambda v: F.array(v["i"], v["i"] + 1, v["i"] + 2))
+    return F.when(s.isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(near)))).cast("bigint")
 
 
 def text_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -55,25 +43,20 @@ def text_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
         F.size("_w") >= 3,
         F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
-    packed = F.sort_array(
-        F.when(
-            (F.size("_h") < _PACKED) & (F.size(F.array_distinct("_h")) < F.size("_h")),
-            F.transform("_h", lambda x, i: x.bitwiseAND(F.lit(-_PACKED)).bitwiseOR(i.cast("bigint"))),
-        )
-    )
+    placed = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
     out = (
         df.select(*[F.col(c) for c in keep], F.col(text).alias("_t"))
         .withColumn("_w", F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""))
         .withColumn("_l", lines)
         .withColumn("_h", hashes)
-        .withColumn("_s", packed)
+        .withColumn("_s", placed)
         .select(
             *keep,
             F.size("_w").cast("bigint").alias("n_words"),
             F.char_length(F.translate(t, SPACE, "")).cast("bigint").alias("word_chars"),
             (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
-            _repeated_words(F.col("_h")).alias("n_repeat_words"),
+            _repeated_words().alias("n_repeat_words"),
         )
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
