@@ -46,12 +46,14 @@ class DomainModel:
         return z / z.sum(1, keepdims=True)
 
 
-#: Dense features of a text: see described().
-N_FEATURES = 9
+#: Features of a text: shares and scales (see described()), then hashed words in CELLS cells.
+DENSE, CELLS = 9, 256
+N_FEATURES = DENSE + CELLS
 
 
 def described(c) -> np.ndarray:
-    """Shares and scales of each text of a chunk: symbols, digits, repeated words and lines, lengths."""
+    """Features of each text of a chunk: shares and scales (symbols, digits, repeated words and lines, lengths), and roots of
+    the shares of its words by the hash of the word."""
     n = c.hi - c.lo
     out = np.zeros((n, N_FEATURES))
     size = np.maximum(np.diff(c.offsets), 1)
@@ -83,14 +85,16 @@ def described(c) -> np.ndarray:
         out[:, 6] = three * 3
         out[:, 7] = np.minimum(np.bincount(doc, weights=c.ends - c.starts, minlength=n) / words / 10, 3)
     out[:, 8] = c.n_words < 50
+    cells = np.bincount(doc * CELLS + (c.hashes >> U64(40)).astype(np.int64) % CELLS, minlength=n * CELLS).reshape(n, CELLS)
+    out[:, DENSE:] = np.sqrt(cells / words[:, None])
     return out
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1e-3, steps: int = 400, rate: float = 0.5) -> np.ndarray:
     """Multinomial logistic regression by Adam steps; the intercept comes first."""
-    x = np.concatenate((np.ones((len(x), 1)), x), 1)
-    w, first, second = np.zeros((x.shape[1], k)), 0.0, 0.0
-    target = np.eye(k)[y]
+    x = np.concatenate((np.ones((len(x), 1), x.dtype), x), 1)
+    w, first, second = np.zeros((x.shape[1], k), x.dtype), 0.0, 0.0
+    target = np.eye(k, dtype=x.dtype)[y]
     for t in range(1, steps + 1):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
@@ -98,35 +102,37 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1e-3, steps
         g = x.T @ (target - p) / len(x) - ridge * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w = w + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return w
+    return w.astype(float)
 
 
 def _featured(df: DataFrame, keep: list[str], text: str, model: DomainModel | None) -> DataFrame:
-    """keep, tokens and features (or posterior) of each row."""
+    """keep, tokens and the posterior (or, without a model, the features as 32-bit floats) of each row."""
     slim = df.select(*keep, F.col(text).cast("string").alias("_t"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]) + ", n_tokens long, x array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]) + ", n_tokens long, x " + ("array<double>" if model else "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             for c in chunks(batch.column(len(keep))):
                 x = described(c)
-                x = model.posterior(x) if model else x
+                x = pa.array(model.posterior(x).tolist(), pa.list_(pa.float64())) if model else pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
                 columns = [b.slice(c.lo, c.hi - c.lo) for b in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(c.n_words + 1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*keep, "n_tokens", "x"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(c.n_words + 1), x], names=[*keep, "n_tokens", "x"])
 
     return slim.mapInArrow(run, schema)
 
 
 def train(documents: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DomainModel | None:
-    """A domain classifier from labels (key and what `domain` is made of); at most `sample` rows are used."""
+    """A domain classifier from labels (key and what `domain` is made of); at most `sample` ids are used, those of least
+    hash (of rows that repeat an id, the least text)."""
     chosen = labels.select(key, domain.alias("d")).filter(F.col("d").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("d").alias("d")).orderBy(F.xxhash64(key), key).limit(sample).collect()
     few = documents.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], f"`{key}` {labels.schema[key].dataType.simpleString()}, d string")
-    rows = _featured(documents.select(key, text).join(F.broadcast(few), key), ["d"], text, None).limit(4 * sample).collect()
+    chosen_texts = documents.select(key, F.col(text).cast("string").alias("t")).join(F.broadcast(few), key).groupBy(key, "d").agg(F.min("t").alias("t"))
+    rows = _featured(chosen_texts, ["d"], "t", None).collect()
     names = sorted({r["d"] for r in rows})
     if len(names) < 2:
         return None
-    x = np.array([r["x"] for r in rows])
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
     return DomainModel(names, fit_softmax(x, np.array([names.index(r["d"]) for r in rows]), len(names)))
 
 
