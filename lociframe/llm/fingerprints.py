@@ -2,7 +2,10 @@
 
 A fingerprint is the sorted set of kept hashes, so fingerprints of parts merge by set union, and the containment of
 one document in another is estimated however unequal they are. Shingles are runs of five words; a text of fewer words
-is one shingle. The smallest hash is always kept, so that a text with words never has an empty fingerprint.
+is one shingle. The smallest hash is always kept, so that a text with words never has an empty fingerprint; only in that
+case (no hash below the threshold) is a fingerprint not the plain set of small hashes, and a union of parts may then hold
+one hash more than the fingerprint of the whole. Kept hashes are 32 bits wide: two of a union of a million collide with a
+chance of about 1e-4 each.
 
 Defined edge cases: a null text is an empty one, with the empty fingerprint; two empty fingerprints are alike (1), an
 empty and another one are not (0). Repeated ids stand next to each other in the order of documents; extra columns are

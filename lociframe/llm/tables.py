@@ -5,10 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+
+#: Rows that pass to Python at a time, at most: texts are long, and the default of 10 000 rows holds a partition in memory.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,11 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: a short lineage that survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_count(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """`written`, and how many of the rows are so (all, if not said), counted as they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count_if(F.lit(True) if what is None else what).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     name = stem
