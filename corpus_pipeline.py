@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lociframe.llm import minhash, mixing, packing, pii, toxicity
-from lociframe.llm.tables import table, written
+from lociframe.llm.tables import small_batches, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found personal data replaced by its kind; n_chars follows the text."""
-    return pii.without_pii(docs, pii.train(docs))
+    small_batches(spark)
+    return pii.without_pii(docs, pii.train())
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,6 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -50,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learnt models and tokenizers are beyond SQL; tests compare the stages with brute force.
+#: Learnt models and tokenizers are beyond SQL; tests compare what each stage keeps with its operator and brute force.
 ORACLE_SQL = None
 
 
