@@ -63,14 +63,20 @@ def random_kfold(samples: DataFrame, k: int = 10, seed: int = 42, key: str = "sa
 def inner_holdout(folded: DataFrame, key: str = "sample_id") -> DataFrame:
     """For each fold, max(1, floor(n / 10)) of its n training samples, by an order hashed with the fold.
 
-    folded: samples with fold_index (that of the part they test). Rows: fold (of training), key.
+    folded: samples with fold_index (that of the part they test). Rows: fold (of training), key. As many samples as make a
+    tenth are found by counting within 4096 ranges of the hash; only the range in which the tenth ends is put in order.
     """
     folds = folded.select(F.col("fold_index").alias("fold")).distinct()
     train = folded.join(F.broadcast(folds), F.col("fold_index") != F.col("fold"))
-    hashed = train.withColumn("_h", F.md5(F.concat_ws(":", F.col("fold").cast("string"), F.col(key).cast("string"))))
-    sizes = train.groupBy("fold").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 10)).alias("_take"))
-    at = F.row_number().over(Window.partitionBy("fold").orderBy("_h", key))
-    return hashed.join(F.broadcast(sizes), "fold").withColumn("_at", at).filter("_at <= _take").select("fold", key)
+    hashed = train.withColumn("_h", F.md5(F.concat_ws(":", F.col("fold").cast("string"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = hashed.groupBy("fold", "_b").agg(F.count(F.lit(1)).alias("_n"))  # 4096 rows a fold at most
+    by = Window.partitionBy("fold")
+    total, before = F.sum("_n").over(by), F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.select("fold", "_b", "_n", before.alias("_before"), F.greatest(F.lit(1), F.floor(total / 10)).alias("_take")).filter("_before < _take")
+    near = hashed.join(F.broadcast(cut), ["fold", "_b"])
+    whole = near.filter("_before + _n <= _take").select("fold", key)
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("fold", "_b").orderBy("_h", key))
+    return whole.unionByName(near.filter("_before + _n > _take").withColumn("_at", at).filter("_at <= _take").select("fold", key))
 
 
 def group_kfold(samples: DataFrame, k: int = 5) -> DataFrame:
@@ -87,10 +93,21 @@ def group_kfold(samples: DataFrame, k: int = 5) -> DataFrame:
     return samples.sparkSession.createDataFrame(out, f"family_id {samples.schema['family_id'].dataType.simpleString()}, n long, fold_index int")
 
 
-def split_digest(samples: DataFrame, folds: DataFrame | None = None, strategy: str = "leave_one_family_out") -> DataFrame:
-    """One row, split_digest: sha256 over the ordered samples, in two levels (one digest for each family first)."""
-    per = samples.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("sample_pos", "sample_id"))).alias("s"))
-    per = per.select("family_id", F.sha2(F.concat_ws(",", F.transform("s", lambda x: x["sample_id"].cast("string"))), 256).alias("d"))
-    every = per.agg(F.array_sort(F.collect_list(F.struct("family_id", "d"))).alias("f"))
-    text = F.concat_ws(";", F.lit(strategy), F.transform("f", lambda x: F.concat(x["family_id"].cast("string"), F.lit("="), x["d"])))
-    return every.select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("split_digest"))
+def row_sum_digest(text: Column) -> Column:
+    """Aggregate: a number that stands for the set of the rows' texts, whatever their order and partitions."""
+    return F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)"))
+
+
+def split_digest(samples: DataFrame, folds: DataFrame, strategy: str = "leave_one_family_out") -> DataFrame:
+    """One row, split_digest: sha256 over the strategy, the samples with their places, and the folds with their families.
+
+    Samples are folded into one number a family by map-side sums, so no task holds a family. folds: a row for each fold.
+    """
+    row = F.concat_ws(":", F.col("sample_pos").cast("string"), F.col("sample_id").cast("string"))
+    per = samples.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"), row_sum_digest(row).alias("d"))
+    families = per.agg(F.array_sort(F.collect_list(F.concat_ws("=", F.col("family_id").cast("string"), F.col("n").cast("string"), F.col("d").cast("string")))).alias("f"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    fold = F.concat_ws(":", F.lpad(F.col("fold_index").cast("string"), 6, "0"), ids("train_family_ids"), ids("test_family_ids"))
+    plan = folds.agg(F.array_sort(F.collect_list(fold)).alias("p"))
+    text = F.concat_ws(";", F.lit(strategy), F.array_join("f", "|"), F.array_join("p", "|"))
+    return families.join(F.broadcast(plan), F.lit(True)).select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("split_digest"))

@@ -166,3 +166,22 @@ def relationship_blocks(left: DataFrame, right: DataFrame, mean: np.ndarray, kee
                 yield pd.DataFrame({"sample_i": np.repeat(pi, len(pj)), "sample_j": np.tile(pj, len(pi)), "value": k.ravel()})
 
     return pairs.mapInPandas(multiply, "sample_i long, sample_j long, value double")
+
+
+def fold_relationships(geno: DataFrame, stats: DataFrame, part: str, jitter: float = 0.0) -> DataFrame:
+    """fold, sample_i, sample_j, value of every fold, under its training statistics (held_out_family, marker_pos, mean,
+    allele_freq, retained): part "train" is training x training samples, "test" held-out x training, "own" held-out x
+    held-out. geno: family_id, sample_pos, dosages. The statistics, a row for each fold and marker, come to the driver.
+    """
+    folds: dict[str, list] = {}
+    for r in stats.select("held_out_family", "marker_pos", "mean", "allele_freq", "retained").orderBy("held_out_family", "marker_pos").collect():
+        folds.setdefault(r["held_out_family"], []).append((r["mean"], r["allele_freq"], r["retained"]))
+    out = None
+    for fold, rows in folds.items():
+        mean, p, keep = np.array([r[0] or 0.0 for r in rows]), np.array([r[1] or 0.0 for r in rows]), np.array([r[2] for r in rows])
+        own, rest = geno.filter(F.col("family_id") == fold), geno.filter(F.col("family_id") != fold)
+        left, right = {"train": (rest, rest), "test": (own, rest), "own": (own, own)}[part]
+        k = relationship_blocks(left, right, mean, keep, float(2 * (p * (1 - p))[keep].sum()), jitter=jitter if part != "test" else 0.0)
+        k = k.select(F.lit(fold).alias("fold"), "sample_i", "sample_j", "value")
+        out = k if out is None else out.unionByName(k)
+    return out

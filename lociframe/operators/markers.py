@@ -117,10 +117,10 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def association_scan(dosage: DataFrame, first: int = 500, trait: str = "z") -> DataFrame:
-    """marker_pos, r of the first markers' dosages (missing as 0) with the trait."""
+def association_scan(dosage: DataFrame, first: int | None = None, trait: str = "z") -> DataFrame:
+    """marker_pos, r of the markers' dosages (missing as 0) with the trait; of the first ones only if `first` is given."""
     x = F.coalesce(F.col("dosage").cast("double"), F.lit(0.0))
-    return dosage.filter(F.col("marker_pos") < first).groupBy("marker_pos").agg(correlation(x, F.col(trait)).alias("r"))
+    return (dosage if first is None else dosage.filter(F.col("marker_pos") < first)).groupBy("marker_pos").agg(correlation(x, F.col(trait)).alias("r"))
 
 
 def top_markers(scan: DataFrame, n: int = 1) -> DataFrame:

@@ -83,8 +83,15 @@ def missing_predictions(oof: DataFrame) -> DataFrame:
     return per.filter("n <> 1 or finite <> 1")
 
 
-def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows (scope, fold, r_a, r_b, r_difference, rmse_a, rmse_b, rmse_difference) of two tables over the same samples."""
+def compare_models(a: DataFrame, b: DataFrame, split_a: DataFrame | None = None, split_b: DataFrame | None = None) -> DataFrame:
+    """Rows (scope, fold, r_a, r_b, r_difference, rmse_a, rmse_b, rmse_difference) of two tables over the same samples.
+
+    split_a, split_b: one-row tables with the split_digest of each run; if given, they must be equal.
+    """
+    if split_a is not None or split_b is not None:
+        digests = [s.select("split_digest").first() if s is not None else None for s in (split_a, split_b)]
+        if None in digests or digests[0] != digests[1]:
+            raise ValueError(f"the tables come from different splits: {digests}")
     keys = ["family_id", "sample_name"]
     left, right = a.select(*keys).withColumn("_a", F.lit(1)), b.select(*keys).withColumn("_b", F.lit(1))
     lonely = left.join(right, keys, "full_outer").filter("_a is null or _b is null").limit(5).collect()

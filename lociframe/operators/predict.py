@@ -29,7 +29,8 @@ def project(z: DataFrame, loadings: DataFrame) -> DataFrame:
     return z.join(use, ["family_id", "marker_pos"]).groupBy("family_id", "sample_id", "component").agg(F.sum(F.col("z") * F.col("loading")).alias("score"))
 
 
-def fold_results(effects: DataFrame, metrics: DataFrame) -> DataFrame:
-    """held_out_family, r, rmse, fitted variances and retained markers: one row for each fold."""
+def fold_results(effects: DataFrame, metrics: DataFrame, folds: DataFrame) -> DataFrame:
+    """fold_index, held_out_family, r, rmse, fitted variances and retained markers: one row for each fold."""
     fits = effects.groupBy("held_out_family").agg(*[F.first(c).alias(c) for c in ("lambda_ratio", "genetic_variance", "residual_variance", "n_retained", "n_train")])
-    return fits.join(metrics.select(F.col("family_id").alias("held_out_family"), "r", "rmse"), "held_out_family")
+    plan = folds.select("fold_index", F.col("held_out_family").cast("string").alias("held_out_family"))
+    return plan.join(fits, "held_out_family").join(metrics.select(F.col("family_id").alias("held_out_family"), "r", "rmse"), "held_out_family")

@@ -140,3 +140,44 @@ def align(phenotype: DataFrame, calls: DataFrame) -> DataFrame:
     """Calls of the samples that have a trait, with it; phenotype order is in sample_pos."""
     kept = strict_traits(without_founders(phenotype)).select("family_id", "sample_id", F.col("sample_pos").alias("_pos"), "yield")
     return calls.join(kept, ["family_id", "sample_id"]).withColumn("sample_pos", F.col("_pos")).drop("_pos")
+
+
+#: Fixed value: a range of traits up to this counts as constant.
+EPSILON = 2.220446049250313e-16
+
+
+def fold_guards(samples: DataFrame, value: str = "yield", least: int = 3) -> DataFrame:
+    """held_out_family, n, low, high, trainable: the training traits of every fold, from one row a family.
+
+    A fold can be trained if all traits are finite, at least `least` are there and they are not constant.
+    """
+    y = F.col(value).cast("double")
+    bad = y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
+    per = samples.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.min(y).alias("low"), F.max(y).alias("high"))
+    other = per.select(F.col("family_id").alias("held_out_family"))
+    pairs = other.join(F.broadcast(per), F.col("family_id") != F.col("held_out_family"))  # families x families
+    out = pairs.groupBy("held_out_family").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return out.select("held_out_family", "n", "low", "high", ((F.col("bad") == 0) & (F.col("n") >= least) & (F.col("high") - F.col("low") > EPSILON)).alias("trainable"))
+
+
+def marker_set_sizes(dosage: DataFrame) -> DataFrame:
+    """family_id, n_markers, all_markers: a family lacks markers if the two differ."""
+    pairs = dosage.select("family_id", "marker_pos").distinct()
+    every = pairs.select("marker_pos").distinct().agg(F.count(F.lit(1)).alias("all_markers"))
+    return pairs.groupBy("family_id").agg(F.count(F.lit(1)).alias("n_markers")).join(F.broadcast(every), F.lit(True))
+
+
+def require_trainable(samples: DataFrame, dosage: DataFrame, value: str = "yield", least: int = 3) -> None:
+    """Raises unless every fold can be trained, all families have the same markers and all dosages are -1, 0, 1 or missing."""
+    if rows := fold_guards(samples, value, least).filter("not trainable").limit(5).collect():
+        raise ValidationError(f"training traits not finite, too few or constant for the folds of {[r['held_out_family'] for r in rows]}")
+    if rows := marker_set_sizes(dosage).filter("n_markers <> all_markers").limit(5).collect():
+        raise ValidationError(f"marker sets differ: {[(r['family_id'], r['n_markers'], r['all_markers']) for r in rows]}")
+    if rows := dosage.filter("dosage is not null and dosage not in (-1, 0, 1)").limit(5).collect():
+        raise ValidationError(f"dosages that are none: {[r['dosage'] for r in rows]}")
+
+
+def require_thresholds(rate: float, maf: float, variance: float) -> None:
+    """Raises unless marker thresholds lie where they mean something."""
+    if not (0 <= rate <= 1 and 0 <= maf <= 0.5 and 0 <= variance < float("inf")):
+        raise ValidationError(f"thresholds out of range: observed rate {rate}, allele frequency {maf}, variance {variance}")

@@ -105,31 +105,3 @@ def _fit_fold(rows: pd.DataFrame) -> pd.DataFrame:
 def fit_lofo(training: DataFrame) -> DataFrame:
     """EFFECTS: a row for each fold and marker; training: gram.training_moments, stage final."""
     return training.filter("stage = 'final'").groupBy("held_out_family").applyInPandas(_fit_fold, EFFECTS)
-
-
-def dense_reml(k: np.ndarray, y: np.ndarray) -> dict:
-    """The same fit from a training relationship matrix (jitter included), with dual coefficients: the small form."""
-    n = len(y)
-    if not np.allclose(k, k.T) or not np.isfinite(k).all() or not np.isfinite(y).all():
-        raise ValueError("the relationship matrix must be symmetric and finite")
-    d, u = np.linalg.eigh(k)
-    if d.min() < -1e-8:
-        raise ValueError("the relationship matrix has negative eigenvalues")
-    d = np.maximum(d, 0)
-    one, yy = u.T @ np.ones(n), u.T @ y
-
-    def parts(log_ratio: float):
-        v = d + np.exp(log_ratio)
-        info = (one * one / v).sum()
-        mu = (one * yy / v).sum() / info
-        r = yy - mu * one
-        return v, info, mu, r, (r * r / v).sum()
-
-    def objective(x: float) -> float:
-        v, info, _, _, q = parts(x)
-        return np.inf if not (q > 0 and info > 0) else 0.5 * (np.log(v).sum() + np.log(info) + (n - 1) * np.log(q / (n - 1)))
-
-    best = bounded_minimum(objective, *LOG_RANGE)
-    v, _, mu, r, q = parts(best)
-    genetic = q / (n - 1)
-    return {"intercept": float(mu), "lambda_ratio": float(np.exp(best)), "genetic_variance": float(genetic), "residual_variance": float(np.exp(best) * genetic), "alpha": u @ (r / v)}

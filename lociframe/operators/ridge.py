@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .gram import Moments
 from .markers import FEATURE_MIN_MAF, FEATURE_MIN_RATE, FEATURE_MIN_VARIANCE
@@ -95,6 +95,36 @@ def fit_nested(training: DataFrame, folds: DataFrame, grid: tuple[float, ...] =
     return training.groupBy("held_out_family").applyInPandas(lambda rows: _fit_fold(rows, plan, grid, limit), MODEL)
 
 
+#: Share of variance that components must reach, and the most components, of the plain rule.
+TARGET, MOST = 0.90, 200
+
+
+def cumulative_variance(loadings: DataFrame, target: float = TARGET, most: int = MOST) -> DataFrame:
+    """held_out_family, component, ratio, cumulative, used: components up to the first whose cumulative share of variance
+    reaches the target, most at most; all of them if none does."""
+    rows = loadings.select("held_out_family", "component", "ratio").distinct()
+    by = Window.partitionBy("held_out_family").orderBy("component")
+    rows = rows.withColumn("cumulative", F.sum("ratio").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.coalesce(F.lag("cumulative").over(by), F.lit(0.0))
+    return rows.withColumn("used", (before < target) & (F.col("component") < most))
+
+
+def pca_to_variance(training: DataFrame, target: float = TARGET, most: int = MOST) -> DataFrame:
+    """LOADINGS of the components that `cumulative_variance` uses."""
+    every = pca_loadings(training, most)
+    used = cumulative_variance(every, target, most).filter("used").select("held_out_family", "component")
+    return every.join(F.broadcast(used), ["held_out_family", "component"])  # `most` rows a fold
+
+
+def fold_results(model: DataFrame, fold_metrics: DataFrame, folds: DataFrame) -> DataFrame:
+    """fold_index, held_out_family, validation_family, fold_seed, ridge, validation_mse, n_components, r, rmse of each fold."""
+    best = model.groupBy("held_out_family").agg(*[F.first(c).alias(c) for c in ("validation_family", "ridge", "validation_mse", "n_components")])
+    plan = folds.select("fold_index", F.col("held_out_family").cast("string").alias("held_out_family"), "fold_seed")
+    score = fold_metrics.select(F.col("family_id").cast("string").alias("held_out_family"), "r", "rmse")
+    out = plan.join(best, "held_out_family").join(score, "held_out_family", "left")
+    return out.select("fold_index", "held_out_family", "validation_family", "fold_seed", "ridge", "validation_mse", "n_components", "r", "rmse")
+
+
 def pca_loadings(training: DataFrame, limit: int = COMPONENTS) -> DataFrame:
     """LOADINGS of the final training set of every fold."""
 

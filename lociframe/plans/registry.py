@@ -36,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 D, T, G, E = A.DENSE_SQL, A.TALL_SQL, A.GRAPH_SQL, A.EVENTS_SQL
+GENES = A.GENE_GRAPH_SQL
 R = lambda c, n=6: F.round(c, n)
 
 # Sources, checks and encoding
@@ -103,7 +104,10 @@ def marker_consistency(spark, sf):
 @_query("aligned_traits", f"WITH {T} SELECT family_id, sample_id, count(*) AS n_calls, round(max(o_totalprice), 2) AS yield FROM tall JOIN orders ON o_orderkey = sample_id WHERE call IS NOT NULL GROUP BY ALL")
 def aligned_traits(spark, sf):
     p = A.tall_phenotype(spark, sf)
-    return A.tall_calls(spark, sf).filter("call is not null").join(p, ["family_id", "sample_id"]).groupBy("family_id", "sample_id").agg(F.count(F.lit(1)).alias("n_calls"), R(F.max("yield"), 2).alias("yield"))
+    traits = p.select("family_id", F.col("sample_id").cast("string").alias("sample_id"), F.col("sample_id").alias("sample_pos"), F.col("yield").cast("string").alias("yield_raw"))
+    calls = A.tall_calls(spark, sf).filter("call is not null").withColumn("sample_id", F.col("sample_id").cast("string"))
+    out = qc.align(traits, calls).groupBy("family_id", "sample_pos").agg(F.count(F.lit(1)).alias("n_calls"), R(F.max("yield"), 2).alias("yield"))
+    return out.withColumnRenamed("sample_pos", "sample_id")
 
 
 @_query("packed_roundtrip", f"WITH {D} SELECT marker_pos, count(dosage) AS n_obs, CAST(coalesce(sum(dosage), 0) AS BIGINT) AS s1 FROM dosage GROUP BY 1")
@@ -189,10 +193,38 @@ def standardise(spark, sf):
 
 @_query("family_relationship", _z_sql() + ", den AS (SELECT held_out_family, sum(2 * allele_freq * (1 - allele_freq)) AS c FROM blup WHERE retained GROUP BY 1), k AS (SELECT a.family_id, a.sample_id AS i, b.sample_id AS j, sum(a.z * b.z) AS s FROM z a JOIN z b ON a.family_id = b.family_id AND a.marker_pos = b.marker_pos GROUP BY ALL) SELECT k.family_id AS fold, i AS sample_i, count(*) AS n, round(sum(s / c + CASE WHEN i = j THEN 1e-4 ELSE 0 END), 5) AS row_sum, round(max(CASE WHEN i = j THEN s / c + 1e-4 END), 6) AS diagonal FROM k JOIN den ON held_out_family = k.family_id GROUP BY ALL")
 def family_relationship(spark, sf):
-    stats = markers.filter_blup(_dense_stats(spark, sf))
-    z = markers.impute_center(A.dense_dosage(spark, sf), stats).withColumnRenamed("family_id", "fold")
-    k = gram.relationship(z, markers.vanraden_denominator(stats).withColumnRenamed("held_out_family", "fold"), 1e-4)
-    return k.groupBy("fold", "sample_i").agg(F.count(F.lit(1)).alias("n"), R(F.sum("value"), 5).alias("row_sum"), R(F.max(F.when(F.col("sample_i") == F.col("sample_j"), F.col("value")))).alias("diagonal"))
+    return _row_sums(spark, sf, "own")
+
+
+def _row_sums(spark, sf, part):
+    """fold, sample_i, n, row_sum and (but for "test") diagonal of the relationship matrices of all folds. Training columns
+    add up to nothing, so there the sum is weighted, by the sample's place modulo 7."""
+    dosage = A.dense_dosage(spark, sf)
+    geno = encode.pack(dosage).persist()
+    k = gram.fold_relationships(geno, markers.filter_blup(_dense_stats(spark, sf)), part, 1e-4)
+    weight = F.lit(1) if part == "own" else F.col("sample_j") % 7
+    sums = [F.count(F.lit(1)).alias("n"), R(F.sum(F.col("value") * weight), 5).alias("row_sum")]
+    if part != "test":
+        sums.append(R(F.max(F.when(F.col("sample_i") == F.col("sample_j"), F.col("value")))).alias("diagonal"))
+    out = k.groupBy("fold", F.col("sample_i").alias("pos")).agg(*sums)
+    names = geno.select(F.col("sample_pos").alias("pos"), F.col("sample_id").alias("sample_i"))
+    return out.join(names, "pos").drop("pos")
+
+
+_TRAIN = f"""WITH {D}, {_LOFO}, z AS (
+  SELECT b.held_out_family AS fold, d.family_id = b.held_out_family AS held, d.sample_id, d.sample_pos, d.marker_pos, coalesce(d.dosage - b.mean, 0) AS z FROM dosage d JOIN blup b ON b.marker_pos = d.marker_pos WHERE retained
+), s AS (SELECT fold, marker_pos, sum(z * (sample_pos % 7)) AS s, count(*) AS n FROM z WHERE NOT held GROUP BY ALL
+), den AS (SELECT held_out_family, sum(2 * allele_freq * (1 - allele_freq)) AS c FROM blup WHERE retained GROUP BY 1)"""
+
+
+@_query("training_relationship", _TRAIN + " SELECT z.fold, sample_id AS sample_i, max(s.n) AS n, round(sum(z * s) / max(c) + 1e-4 * (max(sample_pos) % 7), 5) AS row_sum, round(sum(z * z) / max(c) + 1e-4, 6) AS diagonal FROM z JOIN s ON s.fold = z.fold AND s.marker_pos = z.marker_pos JOIN den ON held_out_family = z.fold WHERE NOT held GROUP BY z.fold, sample_id")
+def training_relationship(spark, sf):
+    return _row_sums(spark, sf, "train")
+
+
+@_query("held_out_relationship", _TRAIN + " SELECT z.fold, sample_id AS sample_i, max(s.n) AS n, round(sum(z * s) / max(c), 5) AS row_sum FROM z JOIN s ON s.fold = z.fold AND s.marker_pos = z.marker_pos JOIN den ON held_out_family = z.fold WHERE held GROUP BY z.fold, sample_id")
+def held_out_relationship(spark, sf):
+    return _row_sums(spark, sf, "test")
 
 
 @_query("gram_moments", f"WITH {D} SELECT a.family_id, a.marker_pos AS i, b.marker_pos AS j, CAST(sum(coalesce(a.dosage, 0) * coalesce(b.dosage, 0)) AS BIGINT) AS a, CAST(sum((a.dosage IS NOT NULL)::INT * coalesce(b.dosage, 0)) AS BIGINT) AS b, CAST(sum((a.dosage IS NOT NULL)::INT * (b.dosage IS NOT NULL)::INT) AS BIGINT) AS c FROM dosage a JOIN dosage b ON a.sample_pos = b.sample_pos GROUP BY ALL")
@@ -246,14 +278,34 @@ def inner_holdout(spark, sf):
     return folds.inner_holdout(folds.random_kfold(s, 5, 42, "sample_pos"), "sample_pos")
 
 
-@_query("group_kfold")
+_GREEDY = f"""WITH RECURSIVE {T}, sizes AS (SELECT family_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, family_id) AS i FROM tall_phenotype GROUP BY 1
+), deal AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS family_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS INTEGER) AS fold_index, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS load
+  UNION ALL
+  SELECT s.i, CAST(s.family_id AS BIGINT), s.n, CAST(list_position(load, list_min(load)) - 1 AS INTEGER),
+         list_transform(load, lambda x, j: x + CASE WHEN j = list_position(load, list_min(load)) THEN s.n ELSE 0 END)
+  FROM deal JOIN sizes s ON s.i = deal.i + 1
+) SELECT family_id, n, fold_index FROM deal WHERE i > 0"""
+
+
+@_query("group_kfold", _GREEDY)
 def group_kfold(spark, sf):
-    return folds.group_kfold(A.tall_phenotype(spark, sf), 5)
+    return folds.group_kfold(A.tall_phenotype(spark, sf), 5).select(F.col("family_id").cast("bigint").alias("family_id"), "n", "fold_index")
+
 
+_SPLIT = f"""WITH {D}, per AS (
+  SELECT family_id, count(*) AS n, sum(CAST('0x' || substr(sha256(CAST(sample_pos AS VARCHAR) || ':' || sample_id), 1, 15) AS BIGINT)::HUGEINT) AS d FROM samples GROUP BY 1
+), fam AS (SELECT string_agg(family_id || '=' || CAST(n AS VARCHAR) || '=' || CAST(d AS VARCHAR), '|' ORDER BY family_id) AS f FROM per
+), plan AS (
+  SELECT string_agg(lpad(CAST(i AS VARCHAR), 6, '0') || ':' || train || ':' || family_id, '|' ORDER BY i) AS p FROM (
+    SELECT a.family_id, (SELECT count(*) FROM per b WHERE b.family_id < a.family_id) AS i, (SELECT string_agg(b.family_id, ',' ORDER BY b.family_id) FROM per b WHERE b.family_id <> a.family_id) AS train FROM per a)
+) SELECT 'sha256:' || sha256('leave_one_family_out;' || f || ';' || p) AS split_digest FROM fam, plan"""
 
-@_query("split_digest", f"WITH {D}, p AS (SELECT family_id, sha256(string_agg(sample_id, ',' ORDER BY sample_pos)) AS d FROM samples GROUP BY 1) SELECT 'sha256:' || sha256('leave_one_family_out;' || string_agg(family_id || '=' || d, ';' ORDER BY family_id)) AS split_digest FROM p")
+
+@_query("split_digest", _SPLIT)
 def split_digest(spark, sf):
-    return folds.split_digest(A.dense_samples(spark, sf))
+    samples = A.dense_samples(spark, sf)
+    return folds.split_digest(samples, folds.make_folds(samples))
 
 
 # Metrics
@@ -350,6 +402,16 @@ def modelling_table(spark, sf):
     return t.groupBy("family_id", "marker_pos").agg(F.count(F.lit(1)).alias("n"), F.sum("dosage").alias("s"))
 
 
+@_query("fold_guards", f"WITH {D}, p AS (SELECT family_id, count(*) AS n, min(yield) AS low, max(yield) AS high FROM samples GROUP BY 1) SELECT a.family_id AS held_out_family, CAST(sum(b.n) AS BIGINT) AS n, min(b.low) AS low, max(b.high) AS high, sum(b.n) >= 3 AND max(b.high) > min(b.low) AS trainable FROM p a JOIN p b ON a.family_id <> b.family_id GROUP BY 1")
+def fold_guards(spark, sf):
+    return qc.fold_guards(A.dense_samples(spark, sf))
+
+
+@_query("marker_set_sizes", f"WITH {T}, p AS (SELECT DISTINCT family_id, marker_pos FROM tall) SELECT family_id, count(*) AS n_markers, (SELECT count(DISTINCT marker_pos) FROM p) AS all_markers FROM p GROUP BY 1")
+def marker_set_sizes(spark, sf):
+    return qc.marker_set_sizes(A.tall_calls(spark, sf))
+
+
 # Graph
 
 
@@ -376,16 +438,16 @@ def gene_means(spark, sf):
 
 def _smoothed(spark, sf):
     genes = _map(spark, sf)
-    weights = graph.smoothing_weights(graph.undirected(A.raw_edges(spark, sf)), graph.gene_list(genes))
+    weights = graph.smoothing_weights(graph.undirected(A.gene_edges(spark, sf)), graph.gene_list(genes))
     return graph.smoothed(graph.gene_means(A.dense_dosage(spark, sf), genes), weights)
 
 
-@_query("gene_smoothing", f"WITH {D}, {G}, {_MEANS}, {_HOP} SELECT family_id, sample_id, CAST(gene_id AS INTEGER) AS gene_id, round(x, 6) AS x FROM hop")
+@_query("gene_smoothing", f"WITH {D}, {GENES}, {_MEANS}, {_HOP} SELECT family_id, sample_id, CAST(gene_id AS INTEGER) AS gene_id, round(x, 6) AS x FROM hop")
 def gene_smoothing(spark, sf):
     return _smoothed(spark, sf).select("family_id", "sample_id", F.col("gene_id").cast("int").alias("gene_id"), R("x").alias("x"))
 
 
-@_query("gene_pool", f"WITH {D}, {G}, {_MEANS}, {_HOP} SELECT family_id, sample_id, round(avg(x), 6) AS pooled FROM hop GROUP BY ALL")
+@_query("gene_pool", f"WITH {D}, {GENES}, {_MEANS}, {_HOP} SELECT family_id, sample_id, round(avg(x), 6) AS pooled FROM hop GROUP BY ALL")
 def gene_pool(spark, sf):
     return graph.pooled(_smoothed(spark, sf)).select("family_id", "sample_id", R("pooled").alias("pooled"))
 
@@ -450,7 +512,7 @@ def gblup_lofo_oof(spark, sf):
 @_query("gblup_fold_results")
 def gblup_fold_results(spark, sf):
     oof, effects = workloads.gblup_lofo(A.dense_dosage(spark, sf), A.dense_samples(spark, sf))
-    return predict.fold_results(effects, metrics.fold_metrics(oof))
+    return predict.fold_results(effects, metrics.fold_metrics(oof), folds.make_folds(A.dense_samples(spark, sf)))
 
 
 @_query("ridge_lofo_oof")
@@ -463,6 +525,20 @@ def pca_loadings(spark, sf):
     return ridge.pca_loadings(workloads.training(A.dense_dosage(spark, sf), A.dense_samples(spark, sf)))
 
 
+@_query("explained_variance")
+def explained_variance(spark, sf):
+    """Components of each fold by the 90 % rule."""
+    training = workloads.training(A.dense_dosage(spark, sf), A.dense_samples(spark, sf))
+    return ridge.cumulative_variance(ridge.pca_loadings(training, ridge.MOST))
+
+
+@_query("ridge_fold_results")
+def ridge_fold_results(spark, sf):
+    dosage, samples = A.dense_dosage(spark, sf), A.dense_samples(spark, sf)
+    oof, model = workloads.ridge_lofo(dosage, samples)
+    return ridge.fold_results(model, metrics.fold_metrics(oof), folds.validation_families(folds.make_folds(samples), 42))
+
+
 @_query("pca_scores")
 def pca_scores(spark, sf):
     dosage, samples = A.dense_dosage(spark, sf), A.dense_samples(spark, sf)

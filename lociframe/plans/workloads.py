@@ -43,17 +43,19 @@ def ridge_lofo(dosage: DataFrame, samples: DataFrame, seed: int = 42) -> tuple[D
 def run_gblup(spark: SparkSession, data_dir: str, output_dir: str, run_id: str) -> str:
     """The whole GBLUP run on files: read, check, fit, predict, score, verify the inputs, publish."""
     files, samples, dosage = load_strict(spark, data_dir)
-    files = files.cache()
-    manifest = readers.describe_input_files(spark, files).cache()
-    manifest.count()
+    qc.require_thresholds(markers.BLUP_MIN_RATE, markers.BLUP_MIN_MAF, markers.BLUP_MIN_VARIANCE)
+    qc.require_trainable(samples, dosage)
+    # A row for each family, taken to the driver: a recomputed one would describe files that may have changed.
+    found = readers.describe_input_files(spark, files)
+    manifest = spark.createDataFrame(found.collect(), found.schema)
     oof, effects = gblup_lofo(dosage, samples)
     oof, effects = oof.cache(), effects.cache()
     if metrics.missing_predictions(oof).limit(1).count():
         raise ValueError("not every sample has one finite prediction")
     summary = metrics.metric_summary(oof)
-    results = predict.fold_results(effects, metrics.fold_metrics(oof))
+    results = predict.fold_results(effects, metrics.fold_metrics(oof), folds.make_folds(samples))
     readers.verify_inputs_unchanged(readers.describe_input_files(spark, files), manifest)
-    tables = {"oof": oof, "metrics": summary, "folds": results, "fold_markers": effects, "input_manifest": manifest, "split": folds.split_digest(samples)}
+    tables = {"oof": oof, "metrics": summary, "folds": results, "fold_markers": effects, "input_manifest": manifest, "split": folds.split_digest(samples, folds.make_folds(samples))}
     final = sinks.write_run_tables(spark, output_dir, run_id, tables)
     sinks.write_oof(oof, f"{output_dir}/oof_predictions")
     return final

@@ -93,9 +93,13 @@ def gene_of(marker_pos: str = "marker_pos"):
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u, v: gene pairs with self loops, both directions and repeats."""
-    line = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 50 = 0")
-    return line.select((F.col("l_partkey") % 13).cast("int").alias("u"), (F.col("l_suppkey") % 13).cast("int").alias("v"))
+    """u, v: pairs of nodes (parts and suppliers by number) with self loops, both directions and repeats."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("int").alias("u"), F.col("l_suppkey").cast("int").alias("v"))
+
+
+def gene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_edges whose ends are both genes of gene_of."""
+    return raw_edges(spark, sf_dir).filter("u < 13 and v < 13")
 
 
 #: The same tables as common table expressions: raw_calls, calls, phenotype, samples, dosage.
@@ -142,8 +146,9 @@ log AS (
 )"""
 
 GRAPH_SQL = """
-raw_edges AS (SELECT CAST(l_partkey % 13 AS INTEGER) AS u, CAST(l_suppkey % 13 AS INTEGER) AS v FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0
+raw_edges AS (SELECT CAST(l_partkey AS INTEGER) AS u, CAST(l_suppkey AS INTEGER) AS v FROM lineitem
 ), edges AS (
   SELECT least(u, v) AS a, greatest(u, v) AS b FROM raw_edges WHERE u <> v GROUP BY 1, 2
 ), directed AS (SELECT a AS source, b AS target FROM edges UNION ALL SELECT b, a FROM edges
 )"""
+GENE_GRAPH_SQL = GRAPH_SQL.replace("FROM lineitem\n", "FROM lineitem WHERE l_partkey < 13 AND l_suppkey < 13\n")

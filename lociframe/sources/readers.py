@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lociframe.operators import folds
 from lociframe.functions.scalars import GENOTYPE_SUFFIX, PHENOTYPE_SUFFIX, base_name, family_of_file, na_to_null, stripped
 
 #: The phenotype columns that must be there.
@@ -70,13 +71,50 @@ def read_genotype_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
 def read_calls(spark: SparkSession, files: DataFrame) -> DataFrame:
     """family_id, marker_pos, marker_id, sample_pos, sample_id, call: one row for each cell of the genotype files."""
     lines = _lines(spark, files, "genotype_path")
-    header = lines.filter("line_pos = 0").select("family_id", F.col("cells").alias("names"))
+    header = lines.filter("line_pos = 0").select("family_id", F.slice("cells", 2, F.size("cells")).alias("names"))
     rows = lines.filter("line_pos > 0").join(header, "family_id")
+    # Names and cells go side by side before the explosion, so that no cell carries the header.
+    both = F.arrays_zip("names", F.slice("cells", 2, F.size("cells")).alias("cells"))
     melted = rows.select(
         "family_id", (F.col("line_pos") - 1).alias("marker_pos"), stripped(na_to_null(F.get("cells", F.lit(0)))).alias("marker_id"),
-        "names", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("sample_pos", "cell"),
-    )
-    return melted.select("family_id", "marker_pos", "marker_id", "sample_pos", stripped(F.get("names", F.col("sample_pos") + 1)).alias("sample_id"), na_to_null(F.col("cell")).alias("call"))
+        F.size("cells").alias("n"), F.posexplode(both).alias("sample_pos", "x"),
+    ).filter("sample_pos < n - 1")
+    return melted.select("family_id", "marker_pos", "marker_id", "sample_pos", stripped(F.col("x.names")).alias("sample_id"), na_to_null(F.col("x.cells")).alias("call"))
+
+
+def read_processed_phenotypes(spark: SparkSession, path: str, k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Samples (sample_id, yield, family_id, and fold_index) and folds of a CSV whose first column is the sample.
+
+    With a family_id column a fold is a family; without one samples are dealt over k random folds, and their fold is
+    their family.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    name = raw.columns[0]
+    if "yield" not in raw.columns:
+        raise InputError(f"no column 'yield' in {path}")
+    samples = raw.select(F.col(f"`{name}`").alias("sample_id"), F.expr("try_cast(`yield` as double)").alias("yield"), *(["family_id"] if "family_id" in raw.columns else []))
+    if "family_id" not in raw.columns:
+        samples = folds.random_kfold(samples, k, seed).withColumn("family_id", F.concat(F.lit("fold"), F.lpad(F.col("fold_index").cast("string"), 3, "0"))).drop("fold_index")
+    plan = folds.make_folds(samples)
+    return samples.join(F.broadcast(plan.select(F.col("held_out_family").alias("family_id"), "fold_index")), "family_id"), plan
+
+
+def read_marker_map(spark: SparkSession, path: str) -> DataFrame:
+    """marker_pos, gene_id of a CSV with a row for each marker in order: its position, its gene (last column)."""
+    raw = spark.read.option("header", True).csv(path)
+    out = raw.select(F.expr(f"try_cast(`{raw.columns[0]}` as int)").alias("marker_pos"), F.expr(f"try_cast(`{raw.columns[-1]}` as int)").alias("gene_id"))
+    if bad := out.filter("marker_pos is null or gene_id is null").limit(5).collect():
+        raise InputError(f"rows without a marker or gene number in {path}: {len(bad)} or more")
+    return out
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """u, v of a CSV of gene pairs (its first two columns)."""
+    raw = spark.read.option("header", True).csv(path)
+    out = raw.select(*[F.expr(f"try_cast(`{c}` as int)").alias(n) for c, n in zip(raw.columns, ("u", "v"))])
+    if bad := out.filter("u is null or v is null").limit(5).collect():
+        raise InputError(f"rows without two gene numbers in {path}: {len(bad)} or more")
+    return out
 
 
 def read_modelling_table(spark: SparkSession, path: str) -> DataFrame:

@@ -16,25 +16,41 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _rename(fs, source, target) -> None:
+    try:
+        done = fs.rename(source, target)
+    except Exception as e:  # what the file system raises, by way of the gateway
+        raise OSError(f"{source} could not be renamed to {target}") from e
+    if not done:
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def publish(spark: SparkSession, staged: str, final: str, replace: bool) -> None:
-    """Moves a staged folder to its final name; an existing one is replaced or is an error."""
+    """Moves a staged folder to its final name; an existing one is replaced or is an error. If a move fails, the old
+    one is put back and the error raised. A folder can't be replaced in one step: for a moment the old one is gone."""
     fs, path = _fs(spark, final)
     if fs.exists(path(final)):
         if not replace:
             fs.delete(path(staged), True)
             raise FileExistsError(final)
         old = f"{final}.old-{uuid.uuid4().hex}"
-        fs.rename(path(final), path(old))
-        fs.rename(path(staged), path(final))
+        _rename(fs, path(final), path(old))
+        try:
+            _rename(fs, path(staged), path(final))
+        except Exception:
+            _rename(fs, path(old), path(final))
+            raise
         fs.delete(path(old), True)
     else:
-        fs.rename(path(staged), path(final))
+        _rename(fs, path(staged), path(final))
 
 
 def write_oof(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """The prediction table, families and samples in order; replaces the one before in one step."""
+    """The prediction table, families sorted and samples in the order of sample_pos if df has it (else by name), file by
+    file; it takes the place of the one before as `publish` does."""
     staged = f"{path}.tmp-{uuid.uuid4().hex}"
-    df.select(*OOF_COLUMNS).write.option("header", True).format(kind).save(staged)
+    order = ["family_id", "sample_pos" if "sample_pos" in df.columns else "sample_name"]
+    df.orderBy(*order).select(*OOF_COLUMNS).write.option("header", True).format(kind).save(staged)
     publish(df.sparkSession, staged, path, replace=True)
 
 
@@ -56,4 +72,7 @@ def write_run_tables(spark: SparkSession, output_dir: str, run_id: str, tables:
 
 
 def write_modelling_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("family_id").parquet(path)
+    """The table by family; it takes the place of the one before as `publish` does."""
+    staged = f"{path}.tmp-{uuid.uuid4().hex}"
+    df.write.partitionBy("family_id").parquet(staged)
+    publish(df.sparkSession, staged, path, replace=True)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lociframe.operators import encode, folds, gram, markers, metrics, reml, ridge
+from lociframe.operators import encode, folds, gram, markers, metrics, qc, reml, ridge
 from lociframe.plans import workloads
 
 
@@ -17,6 +17,29 @@ def panel(spark, families=4, per=30, m=24, seed=7, missing=0.05, effect=1.0):
     return dosage, samples, np.where(seen, x, np.nan), y, np.repeat(np.arange(families), per)
 
 
+def restricted_likelihood(k, y, ratio):
+    """Profile restricted log likelihood of y ~ N(mu, s (k + ratio I)) up to a constant, its mu, s and V^-1 (y - mu)."""
+    n = len(y)
+    v = k + ratio * np.eye(n)
+    w = np.linalg.solve(v, np.ones(n))
+    mu = w @ y / w.sum()
+    a = np.linalg.solve(v, y - mu)
+    s = (y - mu) @ a / (n - 1)
+    return -0.5 * (np.linalg.slogdet(v)[1] + np.log(w.sum()) + (n - 1) * np.log(s)), mu, s, a
+
+
+def dense_fit(k, y):
+    """The best of a grid of ratios, refined twice."""
+    lo, hi = np.exp(-12), np.exp(12)
+    for _ in range(7):
+        grid = np.geomspace(lo, hi, 41)
+        i = int(np.argmax([restricted_likelihood(k, y, r)[0] for r in grid]))
+        lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, 40)]
+    ratio = float(np.sqrt(lo * hi))
+    _, mu, s, a = restricted_likelihood(k, y, ratio)
+    return {"intercept": mu, "lambda_ratio": ratio, "genetic_variance": s, "alpha": a}
+
+
 def dense_fold(x, y, family, held):
     """Relationship, REML and predictions of one fold by n x n matrices."""
     train, test = family != held, family == held
@@ -28,7 +51,7 @@ def dense_fold(x, y, family, held):
     z = (filled - mean)[:, keep]
     c = 2 * (p * (1 - p))[keep].sum()
     k = z[train] @ z[train].T / c + 1e-4 * np.eye(n)
-    fit = reml.dense_reml(k, y[train])
+    fit = dense_fit(k, y[train])
     return fit, fit["intercept"] + z[test] @ z[train].T / c @ fit["alpha"]
 
 
@@ -89,13 +112,32 @@ def test_vanraden_fixture(spark):
     assert {r["marker_pos"]: r["z"] for r in z.filter("sample_id = 't0'").collect()} == {0: 0.0, 1: 1.0, 2: 1.0}
 
 
-def test_reml_fixture():
-    k = np.array([[1.1, 0.4, 0.2, 0.1], [0.4, 1.2, 0.3, 0.2], [0.2, 0.3, 1.0, 0.4], [0.1, 0.2, 0.4, 1.3]])
-    y = np.array([2, 3.5, 4, 6])
-    fit = reml.dense_reml(k, y)
-    v = k + fit["lambda_ratio"] * np.eye(4)
-    mu = np.linalg.solve(v, y).sum() / np.linalg.solve(v, np.ones(4)).sum()
-    assert np.isclose(fit["intercept"], mu) and np.allclose(fit["alpha"], np.linalg.solve(v, y - mu))
+def test_reml_equals_a_dense_likelihood():
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(40, 12))
+    z -= z.mean(0)
+    y = z @ rng.normal(size=12) + rng.normal(size=40) * 2
+    got = reml.fit_reml(z.T @ z, z.T @ y, 40, y.sum(), y @ y, 7.0)
+    want = dense_fit(z @ z.T / 7.0 + reml.JITTER * np.eye(40), y)
+    assert np.isclose(got["lambda_ratio"], want["lambda_ratio"], rtol=1e-3) and np.isclose(got["genetic_variance"], want["genetic_variance"], rtol=1e-3)
+    assert np.isclose(got["intercept"], want["intercept"]) and np.allclose(got["beta"], z.T @ want["alpha"] / 7.0, atol=1e-4)
+
+
+def test_ridge_equals_normal_equations(spark):
+    """Predictions of a fold against ridge regression on components of the standardised training matrix."""
+    dosage, samples, x, y, family = panel(spark, families=3, per=20, m=8, missing=0.0)
+    oof, model = workloads.ridge_lofo(dosage, samples)
+    got = oof.toPandas().set_index("sample_name")["predicted_yield_kg_ha"]
+    best = model.toPandas().groupby("held_out_family").first()
+    for f in range(3):
+        train, test = family != f, family == f
+        mean, std = x[train].mean(0), x[train].std(0)
+        z, t = (x[train] - mean) / std, (x[test] - mean) / std
+        n, target = train.sum(), (y[train] - y[train].mean()) / y[train].std()
+        ridge_ = best.loc[f"P{f}_NAM{f:02d}", "ridge"] * n
+        w = np.linalg.solve(z.T @ z + ridge_ * np.eye(8), z.T @ target)  # all 8 components are used
+        names = [f"s{i:04d}" for i in np.flatnonzero(test)]
+        assert np.allclose(got[names], y[train].mean() + y[train].std() * (t @ w), rtol=1e-6)
 
 
 def test_ridge_uses_other_families_only(spark):
@@ -142,3 +184,45 @@ def test_too_few_families(spark):
     dosage, samples, *_ = panel(spark, families=1, per=5)
     with pytest.raises(ValueError):
         workloads.gblup_lofo(dosage, samples)
+
+
+def test_components_to_a_share_of_variance(spark):
+    dosage, samples, x, y, family = panel(spark, per=15, missing=0.0)
+    training = workloads.training(dosage, samples)
+    got = ridge.cumulative_variance(ridge.pca_loadings(training, 200)).filter("held_out_family = 'P0_NAM00'").toPandas().sort_values("component")
+    t = x[family != 0]
+    s = np.linalg.svd((t - t.mean(0)) / t.std(0), compute_uv=False) ** 2
+    share = np.cumsum(s / s.sum())
+    k = int(np.argmax(share >= 0.9)) + 1
+    assert np.allclose(got["cumulative"], share) and got["used"].sum() == k and got["used"].iloc[:k].all()
+    assert ridge.pca_to_variance(training).filter("held_out_family = 'P0_NAM00'").select("component").distinct().count() == k
+
+
+def test_guards(spark):
+    dosage, samples, *_ = panel(spark, families=3, per=6, m=4)
+    from pyspark.sql import functions as F
+
+    qc.require_trainable(samples, dosage)
+    for s, d in ((samples.withColumn("yield", F.lit(1.0)), dosage), (samples.withColumn("yield", F.lit(float("inf"))), dosage), (samples, dosage.filter("family_id <> 'P1_NAM01' or marker_pos > 0")), (samples, dosage.withColumn("dosage", F.lit(7)))):
+        with pytest.raises(qc.ValidationError):
+            qc.require_trainable(s, d)
+    for bad in ((1.1, 0.05, 0), (0.1, 0.6, 0), (0.1, 0.05, -1)):
+        with pytest.raises(qc.ValidationError):
+            qc.require_thresholds(*bad)
+
+
+def test_split_digest_follows_samples_order_and_folds(spark):
+    _, samples, *_ = panel(spark, families=4, per=5, m=2)
+    from pyspark.sql import functions as F
+
+    digest = lambda s, f, k="leave_one_family_out": folds.split_digest(s, f, k).first()[0]
+    plan = folds.make_folds(samples)
+    one = digest(samples, plan)
+    assert one == digest(samples.repartition(7), plan.repartition(3)) and one.startswith("sha256:")
+    moved = samples.withColumn("sample_pos", F.when(F.col("sample_pos") == 0, 1).when(F.col("sample_pos") == 1, 0).otherwise(F.col("sample_pos")))
+    other = [digest(moved, plan), digest(samples.filter("sample_pos > 0"), plan), digest(samples, plan.filter("fold_index > 0")), digest(samples, plan, "random")]
+    assert len({one, *other}) == 5
+    oof = samples.select("family_id", F.col("sample_id").alias("sample_name"), F.col("yield").alias("observed_yield_kg_ha"), F.col("yield").alias("predicted_yield_kg_ha"))
+    assert metrics.compare_models(oof, oof, folds.split_digest(samples, plan), folds.split_digest(samples, plan)).count() == 6
+    with pytest.raises(ValueError, match="splits"):
+        metrics.compare_models(oof, oof, folds.split_digest(samples, plan), folds.split_digest(moved, plan))
