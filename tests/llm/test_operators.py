@@ -197,7 +197,7 @@ def test_copies_have_their_texts_passages(spark):
     got = substrings.passages(documents(spark, rows)).collect()
     whole = {(r["doc_id"], r["leader_doc_id"]) for r in got if r["first_word"] == 0 and r["last_word"] == 153}
     assert whole == {(3, 3), (5, 3), (6, 3), (4, 4), (7, 4)} and {r["doc_id"] for r in got} == {3, 4, 5, 6, 7}
-    assert {(r["doc_id"], r["leader_doc_id"]) for r in got if r["first_word"] == 0 and r["last_word"] < 70} == {(4, 3), (7, 3)}
+    assert {(r["doc_id"], r["leader_doc_id"]) for r in got if r["first_word"] == 0 and r["last_word"] < 70} == {(4, 3)}
 
 
 def test_narrowed_windows_hold_every_stretch_once():
@@ -263,6 +263,22 @@ def test_fingerprints_merge():
     assert np.array_equal(fingerprints.decoded(fingerprints.encoded(fa)), fa)
 
 
+def test_likeness_follows_similarity(spark):
+    text = prose(33, 4000)
+    rows = [(9, text), (8, changed(text, 50, 3)), (7, changed(text, 20, 4)), (6, prose(34, 300)), (5, text)]
+    got = {r["doc_id"]: r for r in fingerprints.edit_with_next(documents(spark, rows)).collect()}
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    order = [i for i, _ in rows]
+    for i, j in zip(order, order[1:] + order[:1]):
+        true = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        assert abs(got[i]["near_next"] - true) < 0.08
+        a, b = (fingerprints.decoded(got[k]["fingerprint"]) for k in (i, j))
+        assert got[i]["near_next"] == fingerprints.likeness(a, b)
+        assert abs(len(a) * fingerprints.SCALE - len(sets[i])) < 6 * (len(sets[i]) * fingerprints.SCALE) ** 0.5
+        assert got[i]["near_edited"] == fingerprints.likeness(a, fingerprints.decoded(got[i]["edited_fingerprint"]))
+    assert got[9]["fingerprint"] == got[5]["fingerprint"] and got[5]["near_next"] == 1.0
+
+
 # Personal data
 
 
@@ -319,12 +335,12 @@ def test_viterbi_is_the_best_path():
     import itertools
 
     rng = np.random.default_rng(5)
-    field = pii.Field(rng.normal(size=(pii.N_FEATURES, 9)), pii._allowed(rng.normal(size=(9, 9))), pii._allowed_start(rng.normal(size=9)))
+    field = pii.Field(rng.normal(size=(pii.N_FEATURES, len(pii.LABELS))), pii._allowed(rng.normal(size=(len(pii.LABELS),) * 2)), pii._allowed_start(rng.normal(size=len(pii.LABELS))))
     x = rng.normal(size=(4, 3, pii.N_FEATURES))
     score = x @ field.emit
     for n, y in enumerate(field.decode(x)):
         value = lambda p: field.start[p[0]] + sum(score[n, t, k] for t, k in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:]))
-        assert tuple(y) == max(itertools.product(range(9), repeat=3), key=value)
+        assert tuple(y) == max(itertools.product(range(len(pii.LABELS)), repeat=3), key=value)
 
 
 # Quality
@@ -574,9 +590,63 @@ def test_decoder_is_the_best_path():
     assert model.restore(word) == max(("".join(p) for p in itertools.product(*options)), key=value)
 
 
+def test_decoder_drops_letters_and_separators_for_the_best_path():
+    import itertools
+
+    model = toxicity.CharModel({a + b + c: 1 + (ord(a) * 7 + ord(b) * 5 + ord(c) * 3) % 11 for a in "^ilos" for b in "^ilos" for c in "ilos$"})
+    for word in ("llo", "sool", "l.o.1", "s-ll", "ii11"):
+        apart = all(len(x) <= 1 for x in toxicity._split(word))
+        options = []
+        for i, ch in enumerate(word):
+            if ch in toxicity.LETTERS:
+                own = [(ch, 0.0)]
+                if i and word[i - 1] == ch:
+                    own.append(("", toxicity.DROP if i > 1 and word[i - 2] == ch else toxicity.DROP * 8))
+            elif ch in toxicity.SEPARATORS and apart:
+                own = [("", toxicity.JOIN)]
+            elif ch in toxicity.STANDS_FOR:
+                own = [(x, toxicity.READ) for x in toxicity.STANDS_FOR[ch]]
+            else:
+                own = [(ch, 0.0)]
+            options.append(own)
+
+        def value(choice):
+            a, b, total = "^", "^", 0.0
+            for x, cost in choice:
+                total += cost
+                if x and x in toxicity.LETTERS:
+                    total += model.log(a, b, x)
+                    a, b = b, x
+                elif x:
+                    total, a, b = total - 4.0, "^", "^"
+            return total + model.log(a, b, "$")
+
+        best = max(itertools.product(*options), key=value)
+        got = model.restore(word)
+        tied = {"".join(x for x, _ in c) for c in itertools.product(*options) if value(c) > value(best) - 1e-9}
+        assert got in tied, word
+
+
 # Mixing
 
 
+def test_rates_are_those_of_least_squares(spark):
+    rng = np.random.default_rng(8)
+    a = rng.dirichlet((0.5, 0.5, 0.5), 40) * rng.integers(5, 400, 40)[:, None]
+    targets = a.sum(0) * [0.3, 0.8, 1.0]
+    n, size = a.sum(1), targets.sum()
+    near = mixing.NEAR * targets**2 / size
+
+    def cost(r):
+        return (n * (1 - r) ** 2).sum() / 2 + ((r @ a - targets) ** 2 / near).sum() / 2
+
+    r, step = np.ones(40), 1 / (n.max() + np.linalg.norm(a / np.sqrt(near), 2) ** 2)
+    for _ in range(40_000):  # projected gradient
+        r = np.clip(r - step * (-n * (1 - r) + a @ ((r @ a - targets) / near)), 0, 1)
+    got = mixing.rates_from(a, mixing.fit_rates(spark.createDataFrame([(x.tolist(),) for x in a], "a array<double>"), targets))
+    assert cost(got) <= cost(r) * 1.01
+
+
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet((0.4, 0.4, 0.4), 500)
