@@ -5,7 +5,8 @@ random field labels words by their shape (lengths, classes of characters, symbol
 Words of plain letters are always outside, so a text falls into independent runs of other words; runs of equal length are
 decoded together by a Viterbi pass over numpy arrays. The field is trained by gradient ascent on the exact likelihood
 (forward-backward) of a small labelled table, LABELLED, whose rows stand for forms that the patterns know, forms they
-miss (no plus sign, other separators, no top-level domain, colons) and numbers that are no personal data. Its spans are
+miss (no plus sign, other separators, no top-level domain, colons; tokens, account numbers) and numbers that are no
+personal data. Its spans are
 added where they overlap no base span, if they have the digits or the sign that their kind needs.
 
 Defined edge cases: a null or empty text has no spans; repeated rows each give a row; extra columns are ignored; a run of
@@ -35,10 +36,11 @@ from .text import raw_chunks, release
 LABELLED = """
 {email L@L.org} | {email L.L@L.com} | {email L_##@L.co.L} | mail={email L@L.net} | {email L@L} | {email L@L} | {email L.L@L} | {email L##@L} | {email L##@L} | {email L@L.L} {phone +1 (###) ###-####} | @L | L@ | ##@ | @L## | #+# | L+L# | +#
 {ip B.B.B.B} | {ip B.B.B.B} {ip B.B.B.B} | {ip ####:XXX::##} | {ip XXXX:XXXX:##:#::X} | {ip ::#} | {ip ::#} | {ip ::##} | {ip XXXX::#:X} | #.#.# | #.## | ##.#.## | #.#.#.#.# | ##:## | ##:##:## | #:# | L-#.#.# | v#.#
-{card C} | {card C0} | {card C.} | {card C-} | {card C0} ##/## | {card C.} ##/## ### | {card C_} | {card C/} | ################## | ####-##-## | ##/##/#### | ##.##.#### | #### #### | ###### | ####################### | #,###,### | ### ####
+{card C} | {card C0} | {card C.} | {card C-} | {card C0} ##/## | {card C.} ##/## ### | {card C_} | {card C/} | {card C} | {card C} ##/## | {account ################} | {account ###############} | {account ################} {account ################} | {account ##################} | #################### | ####-##-## | ##/##/#### | ##.##.#### | #### #### | ###### | ####################### | #,###,### | ### ####
 {phone +1 ### ### ####} | {phone +## ### ######} | {phone (###) ###-####} | {phone ###-###-####} | {phone ###.###.####} | {phone ### ### ####} | {phone 00## ### ######} | {phone 0## ########} | {phone (0###) ######} | {phone 1-###-###-####} | {phone 1-###-###-####} | {phone (###)###-####} | {phone ###/###-####} | ###-#-###-#####-# | ##-###-####-# | #-### | ##-## | ####-#### | ###.## | (####) | (#) | #.###.###
+{secret XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX} | {secret XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX} | {secret key=XLXXXLXXXLXXXLXXXXLX#} | {secret LLL##LLL#LLL###LLL#} | {secret sk-L##LL###LLL#LL####} | {secret XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX} {secret XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX} | L-##-L-L | LLL# | LL#L#
 # | ## | ### | #### | ##### | L# | L## | #L | ##L | L-# | #% | $## | #.# | # ## | ## ### | #x# | #/# | ##,## | (##) | L=# | #-L | L#L | ##L## | L####### | ####### | ##-##-## ## | ########## | ############
-#### {phone (###) ###-####} # | #### #### {phone (###) ###-####} # # | ## {phone ###-###-####} ## | # {phone ###.###.####} ### # | ### {card C.} ## | #### {ip ::#} ## | # # # # # # | #### #### #### | # {phone +1 ### ### ####} L# | ## {email L@L} #
+#### {phone (###) ###-####} # | #### #### {phone (###) ###-####} # # | ## {phone ###-###-####} ## | # {phone ###.###.####} L# | ### {card C.} ## | #### {ip ::#} ## | # # # # # # | #### #### #### | # {phone +1 ### ### ####} L# | ## {email L@L} #
 """
 #: Times that each row of the table is filled in for training.
 FILLED = 12
@@ -51,11 +53,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
+#: Kinds that only the field finds: keys and tokens, and long numbers that fail the check of cards.
+MORE = ["secret", "account"]
 _RE = {k: re.compile(p) for k, p in PATTERNS.items()}
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
 _DOTTED = re.compile(r"[0-9]+(\.[0-9]+)*")
-LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
+LABELS = ["O", *[f"{p}-{k}" for k in KINDS + MORE for p in "BI"]]
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -145,9 +149,9 @@ _AROUND = ".,;!?\"'[]<>{}#*$%&|"
 _SPECIAL = re.compile(r"[0-9@+]")
 _SHAPES = [
     re.compile(p)
-    for p in (r"@", r"^[^@]+@[^@]+$", r":", r"^\+", r"^\+?[0-9]{1,3}$", r"^\([0-9]{2,4}\)$", r"^[0-9]{3}[.-][0-9]{4}$", r"^[0-9]{3,4}$", r"^[0-9]{4}$", r"^[0-9]{16,19}$", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", r"^[0-9]{1,3}(\.[0-9]{1,3}){1,2}$", r"^[0-9]+$", r"-", r"\.", r"/", r"_", r"[G-Zg-z]", r"::", r"^[0-9]{3}$", r"^0[0-9]+$", r"^[0-9]{10,15}$", r"^[0-9]{3}[./-][0-9]{3}[.-][0-9]{4}$", r"^[0-9A-Fa-f:]+$", r"^(?:[0-9]+[.,-])*[0-9]+$", r"^[0-9]{1,2}[:/.-]", r"^1-[0-9]{3}-[0-9]{3}-", r"^::", r"[()]", r"^([0-9]{4}[-.]){3}[0-9]{4}$", r"^[0-9.()-]{8,}$", r"=", r"[A-Z]", r"^[0-9]{8,15}$")
+    for p in (r"@", r"^[^@]+@[^@]+$", r":", r"^\+", r"^\+?[0-9]{1,3}$", r"^\([0-9]{2,4}\)$", r"^[0-9]{3}[.-][0-9]{4}$", r"^[0-9]{3,4}$", r"^[0-9]{4}$", r"^[0-9]{16,19}$", r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", r"^[0-9]{1,3}(\.[0-9]{1,3}){1,2}$", r"^[0-9]+$", r"-", r"\.", r"/", r"_", r"[G-Zg-z]", r"::", r"^[0-9]{3}$", r"^0[0-9]+$", r"^[0-9]{10,15}$", r"^[0-9]{3}[./-][0-9]{3}[.-][0-9]{4}$", r"^[0-9A-Fa-f:]+$", r"^(?:[0-9]+[.,-])*[0-9]+$", r"^[0-9]{1,2}[:/.-]", r"^1-[0-9]{3}-[0-9]{3}-", r"^::", r"^[0-9A-Fa-f]{32,64}$", r"^[0-9A-Za-z+/_=-]{20,}$", r"^[0-9]{14,19}$", r"^[0-9]{20,}$", r"[()]", r"^([0-9]{4}[-.]){3}[0-9]{4}$", r"^[0-9.()-]{8,}$", r"=", r"[A-Z]", r"^[0-9]{8,15}$")
 ]
-N_FEATURES = len(_SHAPES) + 7
+N_FEATURES = len(_SHAPES) + 8
 
 
 def features(word: str) -> np.ndarray:
@@ -156,7 +160,7 @@ def features(word: str) -> np.ndarray:
         x[i] = p.search(word) is not None
     digits = len(_DIGITS.findall(word))
     at = word.find("@")
-    x[-7:] = [1.0, min(len(word), 40) / 20, min(digits, 20) / 10, digits == len(word), digits == 0, 0 < digits and re.search("[A-Za-z]", word) is not None, 0 < at < word.rfind(".")]
+    x[-8:] = [14 <= digits <= 19 and luhn("".join(_DIGITS.findall(word))), 1.0, min(len(word), 40) / 20, min(digits, 20) / 10, digits == len(word), digits == 0, 0 < digits and re.search("[A-Za-z]", word) is not None, 0 < at < word.rfind(".")]
     return x
 
 
@@ -256,7 +260,7 @@ def labelled_run(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[lis
     return out
 
 
-def fit(data: list[tuple[list[str], list[int]]], steps: int = 500, rate: float = 0.3, ridge: float = 1e-3) -> Field | None:
+def fit(data: list[tuple[list[str], list[int]]], steps: int = 300, rate: float = 0.3, ridge: float = 1e-3) -> Field | None:
     """Gradient ascent (Adam) on the mean log likelihood of labelled runs."""
     if not data:
         return None
@@ -292,6 +296,10 @@ def _plausible(kind: str, s: str) -> bool:
         return 16 <= digits <= 19 and luhn("".join(_DIGITS.findall(s)))
     if kind == "phone":
         return 10 <= digits <= 15 and digits < len(s) and re.fullmatch(r"[+0-9().\x20/-]+", s) is not None
+    if kind == "account":
+        return 14 <= len(s) <= 19 and digits == len(s)
+    if kind == "secret":
+        return len(s) >= 20 and digits > 0 and re.search("[A-Za-z]", s) is not None and re.fullmatch(r"[0-9A-Za-z+/_=.:-]+", s) is not None
     try:
         return s.count(":") > 1 and ipaddress.IPv6Address(s) is not None
     except ValueError:
@@ -348,7 +356,7 @@ def added_spans(texts: list[str], found: list[list[tuple[str, int, int]]], field
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: ((KINDS + MORE).index(x[0]), x[1], x[2])))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -370,10 +378,11 @@ def train(seed: int = 0) -> Field:
 
 
 def find_pii(df: DataFrame, field: Field | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", mask: bool = False) -> DataFrame:
-    """keep, counts and digest of base spans, and all spans of every row; with mask also the text without them."""
+    """keep, counts and digest of base spans, all spans, and those of MORE kinds (others) of every row; with mask also the
+    text without any of them."""
     slim = df.select(*keep, F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1])
-    extra = ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked string" * mask
+    extra = ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, others string" + ", masked string" * mask
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keep, *[x.split()[0] for x in extra[2:].split(", ")]]
@@ -386,7 +395,7 @@ def find_pii(df: DataFrame, field: Field | None, keep: tuple[str, ...] = ("doc_i
                 spans = [b + a for b, a in zip(base, added_spans(texts, base, field))]
                 columns = [x.slice(c.lo, c.hi - c.lo) for x in batch.columns[: len(keep)]]
                 columns += [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
-                columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(s) for s in spans], pa.string())]
+                columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), *[pa.array([joined([x for x in s if (x[0] in KINDS) == own]) for s in spans], pa.string()) for own in (True, False)]]
                 if mask:
                     columns.append(pa.array([masked(t, s) if s else t for t, s in zip(texts, spans)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
