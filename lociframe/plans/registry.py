@@ -501,6 +501,44 @@ def scalar_functions(spark, sf):
     )
 
 
+@_query("redacted_arguments", r"SELECT c_custkey, regexp_replace('--data-dir=/data/' || c_name || '/d' || c_nationkey || ' --output-dir out/x' || c_custkey || '/ --seed 3', '(--(?:data|output)-dir[= ])(?:[^ ]*/)?([^ /]+)/?', '\1\2', 'g') AS argument FROM customer")
+def redacted_arguments(spark, sf):
+    line = F.concat(F.lit("--data-dir=/data/"), "c_name", F.lit("/d"), "c_nationkey", F.lit(" --output-dir out/x"), "c_custkey", F.lit("/ --seed 3"))
+    return A.table(spark, sf, "customer").select("c_custkey", scalars.redacted(line).alias("argument"))
+
+
+@_query("search_space", "SELECT o_orderkey, round(1e-4 * pow(1000, u), 8) AS log_uniform, round(2 + u * 6, 6) AS uniform, [16, 32, 64, 128][CAST(floor(u * 4) AS BIGINT) + 1] AS choice FROM (SELECT o_orderkey, (o_orderkey * 7919 % 1000) / 1000 AS u FROM orders)")
+def search_space(spark, sf):
+    u = (F.col("o_orderkey") * 7919 % 1000) / 1000
+    return A.table(spark, sf, "orders").select("o_orderkey", F.round(scalars.log_uniform(u, 1e-4, 1e-1), 8).alias("log_uniform"), R(scalars.uniform(u, 2.0, 8.0)).alias("uniform"), scalars.choice(u, [16, 32, 64, 128]).alias("choice"))
+
+
+def _loose(spark, sf):
+    """Samples with repeats, blank ids and traits that are no numbers."""
+    p = A.dense_phenotype(spark, sf)
+    name = F.when(F.col("sample_pos") % 37 == 3, " ").otherwise(F.concat(F.lit("S"), F.floor(F.col("sample_pos") / 20).cast("string")))
+    return p.withColumn("sample_id", name).withColumn("yield_raw", F.coalesce(F.col("yield").cast("string"), F.lit("."))).drop("yield")
+
+
+_LOOSE = f"WITH {D}, loose AS (SELECT family_id, sample_pos, yield, CASE WHEN sample_pos % 37 = 3 THEN ' ' ELSE 'S' || CAST(sample_pos // 20 AS VARCHAR) END AS sample_id FROM phenotype)"
+
+
+@_query("lenient_samples", _LOOSE + " SELECT family_id, sample_id, sample_pos, round(yield, 2) AS yield FROM loose WHERE yield IS NOT NULL AND sample_id <> ' ' QUALIFY row_number() OVER (PARTITION BY family_id, sample_id ORDER BY sample_pos) = 1")
+def lenient_samples(spark, sf):
+    return legacy.lenient_samples(_loose(spark, sf)).select("family_id", "sample_id", "sample_pos", R("yield", 2).alias("yield"))
+
+
+@_query("empty_ids", _LOOSE + " SELECT family_id, 'phenotype sample' AS kind, count(*) AS n FROM loose WHERE sample_id = ' ' GROUP BY 1")
+def empty_ids(spark, sf):
+    return qc.empty_ids(_loose(spark, sf), "sample_id", "sample_pos", "phenotype sample").select("family_id", "kind", F.size("ids").cast("bigint").alias("n"))
+
+
+@_query("empty_families", f"WITH {D} SELECT DISTINCT family_id FROM phenotype WHERE family_id NOT IN (SELECT family_id FROM samples WHERE label_of % 3 <> 1)".replace("label_of", "CAST(substr(family_id, 2, 2) AS INTEGER)"))
+def empty_families(spark, sf):
+    kept = A.dense_samples(spark, sf).filter(F.substring("family_id", 2, 2).cast("int") % 3 != 1)
+    return qc.empty_families(A.dense_phenotype(spark, sf), kept).select("family_id")
+
+
 # Models
 
 
