@@ -223,6 +223,17 @@ def test_compact_windows_hold_every_stretch_once():
                     assert ((text == t) & (l <= i) & (i <= c) & (c <= j) & (j <= r) & (c == m)).sum() == 1
 
 
+def test_passages_in_repetitive_texts(spark):
+    """Phrases said over and over give few windows, and passages beside and between them are still found."""
+    passage, chant = prose(61, 56), "on and on we go " * 60
+    rows = [(1, f"{chant} {passage} {chant}"), (2, f"{prose(62, 60)} {passage} {prose(63, 60)}"), (3, "la " * 3000 + passage), (4, f"{prose(64, 70)} go " + "la " * 80)]
+    got = substrings.passages(documents(spark, rows)).collect()
+    pairs = {(r["leader_doc_id"], r["doc_id"]) for r in got}
+    assert pairs >= {(1, 2), (1, 3), (3, 4)} and len(got) < 20
+    n = substrings.windows_of(documents(spark, rows[2:3]).selectExpr("doc_id AS id", "text AS t")).count()
+    assert n < 4 * (3000 // (substrings.LEAST // 2) + 60)
+
+
 def test_windows_of_one_repeated_word_are_linear():
     import time
 
