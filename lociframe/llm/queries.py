@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, lm, minhash, mixing, packing, pii, quality, substrings, toxicity
+from . import fim, fingerprints, html, lm, minhash, mixing, packing, pii, quality, substrings, toxicity, variants, wordvec
 
 QUERIES = {
     "op1_compact_windows": substrings.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_target_mixing": mixing.query,
     "op10_interpolated_lm": lm.query,
+    "op11_bit_sliced_variants": variants.query,
+    "op12_fill_in_middle": fim.query,
+    "op13_random_indexing_quality": wordvec.query,
 }
 
 ORACLE_SQL = {
     "op2_hyperminhash": minhash.ORACLE_SQL,
     "op5_host_quality": quality.ORACLE_SQL,
+    "op12_fill_in_middle": fim.ORACLE_SQL,
 }
