@@ -31,7 +31,7 @@ from .text import U64, chunks, shingles
 
 #: Pages that the weights are fitted on, at most; words in a shingle that is looked for in reference texts; cells that tags
 #: and classes as written are hashed into; pages whose messages are sent together.
-LABELLED_PAGES, WORDS, CELLS, TOGETHER = 400, 5, 64, 64
+LABELLED_PAGES, LABELLED_CHARS, WORDS, CELLS, TOGETHER = 400, 40_000_000, 5, 64, 64
 
 # Kinds of elements by tag name, and by the words of their class and id.
 KINDS = {
@@ -352,13 +352,19 @@ def _known(texts: DataFrame, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.sort(np.array([r["i"] for r in texts.mapInArrow(run, "i long").distinct().collect()], np.int64))]
 
 
-def train(pages: DataFrame, texts: DataFrame, html: str = "html", text: str = "text", limit: int = LABELLED_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Weights fitted on at most `limit` pages, chosen by the hash of their markup, that share articles with texts."""
-    fit_for = pages.select(F.col(html).cast("string").alias("h")).filter("h is not null and length(h) < 100000")
-    hashes = [r["x"] for r in fit_for.select(F.xxhash64("h").alias("x")).distinct().orderBy("x").limit(limit).collect()]
+def train(pages: DataFrame, texts: DataFrame, html: str = "html", text: str = "text", limit: int = LABELLED_PAGES, chars: int = LABELLED_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights fitted on pages that share articles with texts: at most `limit` pages and `chars` characters of markup, in the
+    order of the hash of the markup (a page that would go beyond `chars` is passed over, and others follow)."""
+    fit_for = pages.select(F.col(html).cast("string").alias("h")).filter("h is not null")
+    sizes = fit_for.select(F.xxhash64("h").alias("x"), F.length("h").alias("n")).filter(F.col("n") <= chars).distinct().orderBy("x", "n").limit(limit).collect()
+    hashes, room = [], chars
+    for r in sizes:
+        if r["n"] <= room:
+            hashes.append(r["x"])
+            room -= r["n"]
     if not hashes:
         return prior()
-    rows = fit_for.filter(F.xxhash64("h") <= hashes[-1]).dropDuplicates(["h"]).orderBy(F.xxhash64("h"), "h").limit(limit).collect()
+    rows = fit_for.filter(F.xxhash64("h").isin(hashes)).dropDuplicates(["h"]).orderBy(F.xxhash64("h"), "h").limit(limit).collect()
     np.seterr(over="ignore")
     trees = [Tree().read(r["h"]) for r in rows]
     blocks = [blocks_of(t) for t in trees]

@@ -8,7 +8,7 @@ their similarity, however short they are. Equal sets collapse to one representat
 Candidates are representatives that share a band of registers. In each of PHASES orders of leadership a document is
 compared with one leader of its bands, estimated from registers with the chance collisions taken off and verified on
 full shingle sets; links are contracted to components after each order, so a group of n gives n links an order at most.
-Bands that still hold several components are then compared across components: small bands as pairs, others in blocks of
+Bands (of two documents or more) that still hold several components are then compared across components: small bands as pairs, others in blocks of
 bounded memory that verify where they compare, skip what is joined and give links that join components only. That last
 step is quadratic in the members of a band that are alike in size and bands but not linked; links within a group never
 are. Components come from min-label steps over written tables. No link between different sets is lost but by all BANDS
@@ -282,7 +282,7 @@ def near_duplicates(df: DataFrame, words: int = 5, key: str = "doc_id", text: st
     labels = _leader_links(shared.select("band", "id", "n"), sets, wanted.select("id", F.col("id").alias("component")), PHASES)
 
     # What bands still hold in more than one component.
-    placed = shared.filter("size > 2").join(labels, "id")
+    placed = shared.join(labels, "id")
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
     open_bands = written(placed.join(mixed, "band"), "open-bands")
     small = open_bands.filter(F.col("size") <= SMALL)
