@@ -103,11 +103,12 @@ def marker_consistency(spark, sf):
 
 @_query("aligned_traits", f"WITH {T} SELECT family_id, sample_id, count(*) AS n_calls, round(max(o_totalprice), 2) AS yield FROM tall JOIN orders ON o_orderkey = sample_id WHERE call IS NOT NULL GROUP BY ALL")
 def aligned_traits(spark, sf):
-    p = A.tall_phenotype(spark, sf)
-    traits = p.select("family_id", F.col("sample_id").cast("string").alias("sample_id"), F.col("sample_id").alias("sample_pos"), F.col("yield").cast("string").alias("yield_raw"))
-    calls = A.tall_calls(spark, sf).filter("call is not null").withColumn("sample_id", F.col("sample_id").cast("string"))
-    out = qc.align(traits, calls).groupBy("family_id", "sample_pos").agg(F.count(F.lit(1)).alias("n_calls"), R(F.max("yield"), 2).alias("yield"))
-    return out.withColumnRenamed("sample_pos", "sample_id")
+    # Families are named after a founder, as in files: an order whose key is its nation's is no parent.
+    named = lambda df: df.withColumnRenamed("family_id", "nation").withColumn("family_id", F.concat(F.lit("P"), F.col("nation"), F.lit("_NAM"), F.col("nation")))
+    traits = named(A.tall_phenotype(spark, sf)).select("family_id", F.col("sample_id").cast("string").alias("sample_id"), F.col("sample_id").alias("sample_pos"), F.col("yield").cast("string").alias("yield_raw"))
+    calls = named(A.tall_calls(spark, sf)).filter("call is not null").withColumn("sample_id", F.col("sample_id").cast("string"))
+    out = qc.align(traits, calls).groupBy("nation", "sample_pos").agg(F.count(F.lit(1)).alias("n_calls"), R(F.max("yield"), 2).alias("yield"))
+    return out.withColumnsRenamed({"nation": "family_id", "sample_pos": "sample_id"})
 
 
 @_query("packed_roundtrip", f"WITH {D} SELECT marker_pos, count(dosage) AS n_obs, CAST(coalesce(sum(dosage), 0) AS BIGINT) AS s1 FROM dosage GROUP BY 1")
