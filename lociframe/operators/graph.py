@@ -1,4 +1,9 @@
-"""Gene graphs as edge tables: closure, marker-to-gene means, smoothing over neighbours, pooling, integrity."""
+"""Gene graphs as edge tables: closure, marker-to-gene means, smoothing over neighbours, pooling, integrity.
+
+Smoothing is linear, so any number of hops is one sparse matrix from markers to genes (`smoothing_operator`), a power of the
+normalised adjacency times the map, found without samples; features are joined to it once, and pooling needs its column
+sums alone.
+"""
 
 from __future__ import annotations
 
@@ -49,6 +54,42 @@ def smoothed(features: DataFrame, weights: DataFrame, hops: int = 1) -> DataFram
     return features
 
 
+#: Edges of one part of a gene's neighbourhood: a gene with more is dealt over several.
+PART = 4096
+
+
+def smoothing_operator(marker_genes: DataFrame, weights: DataFrame, hops: int = 1, part: int = PART) -> DataFrame:
+    """gene_id, marker_pos, w: what a marker's dosage adds to a gene after `hops` sums; pairs without a path have no row.
+
+    marker_genes: marker_pos, gene_id; weights: smoothing_weights. A hop is a sparse product, joined on (gene, part): the
+    neighbours of a hub are dealt over parts of about `part` edges, and the rows that meet them go to each.
+    """
+    share = marker_genes.groupBy("gene_id").agg(F.count(F.lit(1)).alias("_n"))
+    out = marker_genes.join(share, "gene_id").select("gene_id", "marker_pos", (1 / F.col("_n")).alias("w"))
+    parts = weights.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    dealt = weights.join(parts, "target").withColumn("part", F.pmod(F.xxhash64("source"), F.col("parts")).cast("int"))
+    dealt = dealt.select(F.col("target").alias("gene_id"), "part", "source", F.col("w").alias("a"))
+    for _ in range(hops):
+        copies = out.join(parts.withColumnRenamed("target", "gene_id"), "gene_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        moved = copies.join(dealt, ["gene_id", "part"])
+        out = moved.groupBy(F.col("source").alias("gene_id"), "marker_pos").agg(F.sum(F.col("a") * F.col("w")).alias("w"))
+    return out
+
+
+def applied(dosage: DataFrame, operator: DataFrame) -> DataFrame:
+    """family_id, sample_id, gene_id, x: smoothed gene values of each sample (missing dosages as 0), for the genes that a
+    marker reaches; the others are 0."""
+    x = F.coalesce(F.col("dosage").cast("double"), F.lit(0.0))
+    return dosage.join(operator, "marker_pos").groupBy("family_id", "sample_id", "gene_id").agg(F.sum(x * F.col("w")).alias("x"))
+
+
+def applied_pool(dosage: DataFrame, operator: DataFrame, genes: DataFrame) -> DataFrame:
+    """family_id, sample_id, pooled: the mean of `applied` over all genes, by the sums of the operator over genes."""
+    sums = operator.groupBy("marker_pos").agg(F.sum("w").alias("w")).join(F.broadcast(genes.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))
+    x = F.coalesce(F.col("dosage").cast("double"), F.lit(0.0))
+    return dosage.join(sums, "marker_pos", "left").groupBy("family_id", "sample_id").agg(F.coalesce(F.sum(x * F.col("w") / F.col("n")), F.lit(0.0)).alias("pooled"))
+
+
 def pooled(features: DataFrame) -> DataFrame:
     return features.groupBy("family_id", "sample_id").agg(F.avg("x").alias("pooled"))
 

@@ -429,7 +429,6 @@ def undirected_edges(spark, sf):
 
 
 _MEANS = f"means AS (SELECT s.sample_id, s.family_id, g.gene_id, coalesce(m.x, 0) AS x FROM samples s CROSS JOIN (SELECT unnest(range(13)) AS gene_id) g LEFT JOIN (SELECT family_id, sample_id, {_GENE} AS gene_id, avg(coalesce(dosage, 0)) AS x FROM dosage GROUP BY ALL) m ON m.family_id = s.family_id AND m.sample_id = s.sample_id AND m.gene_id = g.gene_id)"
-_HOP = "w AS (SELECT source, target FROM directed UNION ALL SELECT g, g FROM (SELECT unnest(range(13)) AS g)), deg AS (SELECT source AS v, count(*) AS d FROM w GROUP BY 1), ww AS (SELECT w.source, w.target, 1 / sqrt(a.d * b.d) AS w FROM w JOIN deg a ON a.v = w.source JOIN deg b ON b.v = w.target), hop AS (SELECT family_id, sample_id, source AS gene_id, sum(w * x) AS x FROM means JOIN ww ON gene_id = target GROUP BY ALL)"
 
 
 @_query("gene_means", f"WITH {D}, {_MEANS} SELECT family_id, sample_id, CAST(gene_id AS INTEGER) AS gene_id, round(x, 6) AS x FROM means")
@@ -437,20 +436,26 @@ def gene_means(spark, sf):
     return graph.gene_means(A.dense_dosage(spark, sf), _map(spark, sf)).select("family_id", "sample_id", "gene_id", R("x").alias("x"))
 
 
-def _smoothed(spark, sf):
-    genes = _map(spark, sf)
-    weights = graph.smoothing_weights(graph.undirected(A.gene_edges(spark, sf)), graph.gene_list(genes))
-    return graph.smoothed(graph.gene_means(A.dense_dosage(spark, sf), genes), weights)
+def _operator(spark, sf, hops):
+    """The smoothing operator over all order lines, and the nodes."""
+    edges = A.raw_edges(spark, sf)
+    nodes = A.graph_nodes(edges)
+    weights = graph.smoothing_weights(graph.undirected(edges), nodes)
+    return graph.smoothing_operator(A.graph_genes(A.dense_dosage(spark, sf), edges), weights, hops), nodes
 
 
-@_query("gene_smoothing", f"WITH {D}, {GENES}, {_MEANS}, {_HOP} SELECT family_id, sample_id, CAST(gene_id AS INTEGER) AS gene_id, round(x, 6) AS x FROM hop")
+@_query("gene_smoothing", f"WITH {D}, {GENES} SELECT family_id, sample_id, CAST(gene_id AS INTEGER) AS gene_id, round(x, 6) AS x FROM hop")
 def gene_smoothing(spark, sf):
-    return _smoothed(spark, sf).select("family_id", "sample_id", F.col("gene_id").cast("int").alias("gene_id"), R("x").alias("x"))
+    """One hop over the graph of all order lines."""
+    out = graph.applied(A.dense_dosage(spark, sf), _operator(spark, sf, 1)[0])
+    return out.select("family_id", "sample_id", F.col("gene_id").cast("int").alias("gene_id"), R("x").alias("x"))
 
 
-@_query("gene_pool", f"WITH {D}, {GENES}, {_MEANS}, {_HOP} SELECT family_id, sample_id, round(avg(x), 6) AS pooled FROM hop GROUP BY ALL")
+@_query("gene_pool", f"WITH {D}, {GENES}, two AS (SELECT family_id, sample_id, sum(w * x) AS s FROM hop JOIN ww ON gene_id = target GROUP BY ALL) SELECT family_id, sample_id, round(s / (SELECT count(*) FROM nodes), 8) AS pooled FROM two")
 def gene_pool(spark, sf):
-    return graph.pooled(_smoothed(spark, sf)).select("family_id", "sample_id", R("pooled").alias("pooled"))
+    """The mean over all nodes after two hops over the graph of all order lines."""
+    operator, nodes = _operator(spark, sf, 2)
+    return graph.applied_pool(A.dense_dosage(spark, sf), operator, nodes).select("family_id", "sample_id", R("pooled", 8).alias("pooled"))
 
 
 @_query("graph_integrity", f"WITH {D}, {G}, g AS (SELECT DISTINCT marker_pos FROM calls WHERE {_GENE} < 9), m AS (SELECT max({_GENE}) AS m FROM g) SELECT DISTINCT 'edge end is no gene' AS problem, CAST(v AS BIGINT) AS value FROM (SELECT source AS v FROM directed UNION ALL SELECT target FROM directed), m WHERE v > m UNION ALL SELECT 'map rows', count(*) FROM g HAVING count(*) <> 64")

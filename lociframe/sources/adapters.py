@@ -97,9 +97,17 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("int").alias("u"), F.col("l_suppkey").cast("int").alias("v"))
 
 
-def gene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """raw_edges whose ends are both genes of gene_of."""
-    return raw_edges(spark, sf_dir).filter("u < 13 and v < 13")
+def graph_genes(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """marker_pos, gene_id: markers on nodes of raw_edges, two on each third one down from the largest number."""
+    top = edges.agg(F.max(F.greatest("u", "v")).alias("m"))
+    markers = calls.select("marker_pos").distinct().join(F.broadcast(top), F.lit(True))
+    return markers.select("marker_pos", (F.col("m") - 3 * F.floor(F.col("marker_pos") / 2)).cast("int").alias("gene_id"))
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """gene_id: all numbers up to the largest part or supplier."""
+    top = edges.agg(F.max(F.greatest("u", "v")).alias("m"))
+    return top.select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias("gene_id"))
 
 
 #: The same tables as common table expressions: raw_calls, calls, phenotype, samples, dosage.
@@ -151,4 +159,11 @@ raw_edges AS (SELECT CAST(l_partkey AS INTEGER) AS u, CAST(l_suppkey AS INTEGER)
   SELECT least(u, v) AS a, greatest(u, v) AS b FROM raw_edges WHERE u <> v GROUP BY 1, 2
 ), directed AS (SELECT a AS source, b AS target FROM edges UNION ALL SELECT b, a FROM edges
 )"""
-GENE_GRAPH_SQL = GRAPH_SQL.replace("FROM lineitem\n", "FROM lineitem WHERE l_partkey < 13 AND l_suppkey < 13\n")
+#: Nodes, normalised weights with self loops, and gene values of the samples over the whole graph.
+GENE_GRAPH_SQL = GRAPH_SQL + """, nodes AS (SELECT unnest(range(CAST((SELECT max(greatest(u, v)) + 1 FROM raw_edges) AS BIGINT))) AS g
+), w AS (SELECT source, target FROM directed UNION ALL SELECT g, g FROM nodes
+), deg AS (SELECT source AS v, count(*) AS d FROM w GROUP BY 1
+), ww AS (SELECT w.source, w.target, 1 / sqrt(a.d * b.d) AS w FROM w JOIN deg a ON a.v = w.source JOIN deg b ON b.v = w.target
+), means AS (SELECT family_id, sample_id, (SELECT max(g) FROM nodes) - 3 * (marker_pos // 2) AS gene_id, avg(coalesce(dosage, 0)) AS x FROM dosage GROUP BY ALL
+), hop AS (SELECT family_id, sample_id, source AS gene_id, sum(w * x) AS x FROM means JOIN ww ON gene_id = target GROUP BY ALL
+)"""

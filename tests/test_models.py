@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql.functions import col
 
-from lociframe.operators import encode, folds, gram, markers, metrics, qc, reml, ridge
+from lociframe.operators import encode, folds, gram, graph, markers, metrics, qc, reml, ridge
 from lociframe.plans import workloads
 
 
@@ -226,3 +227,52 @@ def test_split_digest_follows_samples_order_and_folds(spark):
     assert metrics.compare_models(oof, oof, folds.split_digest(samples, plan), folds.split_digest(samples, plan)).count() == 6
     with pytest.raises(ValueError, match="splits"):
         metrics.compare_models(oof, oof, folds.split_digest(samples, plan), folds.split_digest(moved, plan))
+
+
+def graph_of(spark):
+    import itertools
+
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 20)] + [(3, 3), (5, 4)], "u int, v int")
+    weights = graph.smoothing_weights(graph.undirected(edges), spark.range(32).select(col("id").cast("int").alias("gene_id")))
+    a = np.eye(32)
+    for u, v in itertools.chain(((0, i) for i in range(1, 30)), ((i, i + 1) for i in range(1, 20))):
+        a[u, v] = a[v, u] = 1
+    d = a.sum(1)
+    return weights, a / np.sqrt(np.outer(d, d))
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 3])
+@pytest.mark.parametrize("part", [4, 4096])
+def test_hops_are_powers_of_the_adjacency(spark, hops, part):
+    weights, a = graph_of(spark)
+    dosage, _, x, *_ = panel(spark, families=2, per=4, m=6, missing=0.2)
+    genes = spark.createDataFrame([(0, 0), (1, 0), (2, 7), (3, 25), (4, 30), (5, 7)], "marker_pos int, gene_id int")
+    operator = graph.smoothing_operator(genes, weights, hops, part)
+    means = np.zeros((8, 32))
+    filled = np.nan_to_num(x)
+    for g in (0, 7, 25, 30):
+        means[:, g] = filled[:, [m for m, q in ((0, 0), (1, 0), (2, 7), (3, 25), (4, 30), (5, 7)) if q == g]].mean(1)
+    want = means @ np.linalg.matrix_power(a, hops).T
+    got = np.zeros((8, 32))
+    for r in graph.applied(dosage, operator).collect():
+        got[int(r["sample_id"][1:]), r["gene_id"]] = r["x"]
+    assert np.allclose(got, want)
+    pooled = {int(r["sample_id"][1:]): r["pooled"] for r in graph.applied_pool(dosage, operator, spark.range(32)).collect()}
+    assert np.allclose([pooled[i] for i in range(8)], want.mean(1))
+
+
+def test_graph_queries_use_all_order_lines(spark, sf_dir):
+    from lociframe.plans import registry
+    from lociframe.sources import adapters
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pairs = lines.filter("l_partkey <> l_suppkey").selectExpr("least(l_partkey, l_suppkey) a", "greatest(l_partkey, l_suppkey) b").distinct().count()
+    assert graph.undirected(adapters.raw_edges(spark, sf_dir)).count() == 2 * pairs > 3000
+    reached = registry.queries()["gene_smoothing"](spark, sf_dir).select("gene_id").distinct().count()
+    assert reached > 32
+
+
+def test_a_sample_named_as_its_nation_is_kept(spark):
+    traits = spark.createDataFrame([("P15_NAM15", "15", 0, "3.5"), ("P15_NAM15", "P15", 1, "4.5")], "family_id string, sample_id string, sample_pos int, yield_raw string")
+    calls = spark.createDataFrame([("P15_NAM15", "15", "m1", "A"), ("P15_NAM15", "P15", "m1", "B")], "family_id string, sample_id string, marker_id string, call string")
+    assert [r["sample_id"] for r in qc.align(traits, calls).collect()] == ["15"]
