@@ -168,20 +168,56 @@ def relationship_blocks(left: DataFrame, right: DataFrame, mean: np.ndarray, kee
     return pairs.mapInPandas(multiply, "sample_i long, sample_j long, value double")
 
 
-def fold_relationships(geno: DataFrame, stats: DataFrame, part: str, jitter: float = 0.0) -> DataFrame:
+def packed_statistics(stats: DataFrame) -> DataFrame:
+    """fold, denominator, means and retained (doubles and flags of all markers, as bytes) of training statistics
+    (held_out_family, marker_pos, mean, allele_freq, retained). A fold's rows are as many as there are markers."""
+    p = F.col("allele_freq")
+    row = F.struct("marker_pos", F.coalesce("mean", F.lit(0.0)).alias("mean"), "retained")
+    got = stats.groupBy(F.col("held_out_family").alias("fold")).agg(F.sum(F.when(F.col("retained"), 2 * p * (1 - p))).alias("denominator"), F.array_sort(F.collect_list(row)).alias("s"))
+    got = got.select("fold", "denominator", F.col("s.mean").alias("means"), F.col("s.retained").alias("retained"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = [np.asarray(x.values, float).tobytes() for x in batch.column(2)]
+            kept = [np.asarray(x.values.cast(pa.uint8())).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(means, pa.binary()), pa.array(kept, pa.binary())], names=["fold", "denominator", "means", "retained"])
+
+    return got.mapInArrow(run, "fold string, denominator double, means binary, retained binary")
+
+
+def fold_relationships(geno: DataFrame, stats: DataFrame, part: str, jitter: float = 0.0, block: int = 512) -> DataFrame:
     """fold, sample_i, sample_j, value of every fold, under its training statistics (held_out_family, marker_pos, mean,
     allele_freq, retained): part "train" is training x training samples, "test" held-out x training, "own" held-out x
-    held-out. geno: family_id, sample_pos, dosages. The statistics, a row for each fold and marker, come to the driver.
+    held-out. geno: family_id, sample_pos, dosages.
+
+    One schedule for all folds: samples stand in blocks, each unordered pair of blocks goes to one task, which decodes it
+    once, multiplies it for every fold and gives both halves. With training statistics that differ by fold, and missing
+    calls, there is no common product to correct, so a fold is a product of its own. The statistics, (families x markers)
+    numbers, go to a task beside each pair of blocks; nothing is collected.
     """
-    folds: dict[str, list] = {}
-    for r in stats.select("held_out_family", "marker_pos", "mean", "allele_freq", "retained").orderBy("held_out_family", "marker_pos").collect():
-        folds.setdefault(r["held_out_family"], []).append((r["mean"], r["allele_freq"], r["retained"]))
-    out = None
-    for fold, rows in folds.items():
-        mean, p, keep = np.array([r[0] or 0.0 for r in rows]), np.array([r[1] or 0.0 for r in rows]), np.array([r[2] for r in rows])
-        own, rest = geno.filter(F.col("family_id") == fold), geno.filter(F.col("family_id") != fold)
-        left, right = {"train": (rest, rest), "test": (own, rest), "own": (own, own)}[part]
-        k = relationship_blocks(left, right, mean, keep, float(2 * (p * (1 - p))[keep].sum()), jitter=jitter if part != "test" else 0.0)
-        k = k.select(F.lit(fold).alias("fold"), "sample_i", "sample_j", "value")
-        out = k if out is None else out.unionByName(k)
-    return out
+    if part not in ("train", "test", "own"):
+        raise ValueError(part)
+    placed = geno.select(F.floor(F.col("sample_pos") / block).cast("int").alias("b"), F.struct("sample_pos", F.col("family_id").cast("string").alias("family_id"), "dosages").alias("v"))
+    packed = placed.groupBy("b").agg(F.array_sort(F.collect_list("v")).alias("v"))  # at most `block` rows each
+    one, two = packed.toDF("b1", "v1"), packed.toDF("b2", "v2")
+    pairs = one.join(two, F.col("b1") <= F.col("b2"))
+    every = packed_statistics(stats).agg(F.collect_list(F.struct("fold", "denominator", "means", "retained")).alias("folds"))  # a row for each family
+    work = pairs.join(every, F.lit(True)).select("b1", "v1", "b2", "v2", "folds")
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b1, v1, b2, v2, every in pdf.itertuples(index=False):
+                (pi, fi, xi, oi), (pj, fj, xj, oj) = [(np.array([r["sample_pos"] for r in v]), np.array([r["family_id"] for r in v]), *decoded([r["dosages"] for r in v])) for v in (v1, v2)]
+                for r in every:
+                    fold, keep = r["fold"], np.frombuffer(r["retained"], bool)
+                    mean = np.frombuffer(r["means"])[keep]
+                    k = (xi[:, keep] - oi[:, keep] * mean) @ (xj[:, keep] - oj[:, keep] * mean).T / (r["denominator"] or np.nan)
+                    if part != "test":
+                        k += jitter * (pi[:, None] == pj[None])
+                    for p, f, q, g, value in ((pi, fi, pj, fj, k), *([(pj, fj, pi, fi, k.T)] if b1 != b2 else [])):
+                        left, right = {"train": (f != fold, g != fold), "test": (f == fold, g != fold), "own": (f == fold, g == fold)}[part]
+                        if left.any() and right.any():
+                            i, j = p[left], q[right]
+                            yield pd.DataFrame({"fold": fold, "sample_i": np.repeat(i, len(j)), "sample_j": np.tile(j, len(i)), "value": value[np.ix_(left, right)].ravel()})
+
+    return work.mapInPandas(multiply, "fold string, sample_i long, sample_j long, value double")

@@ -44,6 +44,23 @@ def bounded_minimum(f, lo: float, hi: float, tolerance: float = TOLERANCE, grid:
     return (a + b) / 2
 
 
+def best_ratio(n: float, quadratic, log_determinant) -> float:
+    """Log ratio of the best profile likelihood; quadratic (residual form over the variance ratio) and log_determinant (of the
+    relationship matrix with the ratio on its diagonal) are functions of the ratio plus JITTER."""
+
+    def objective(log_ratio: float) -> float:
+        delta = np.exp(log_ratio) + JITTER
+        q = quadratic(delta)
+        if not q > 0:
+            return np.inf
+        return 0.5 * (log_determinant(delta) + np.log(n / delta) + (n - 1) * np.log(q / (n - 1)))
+
+    best = bounded_minimum(objective, *LOG_RANGE)
+    if not np.isfinite(objective(best)):
+        raise ValueError("the likelihood has no finite optimum")
+    return best
+
+
 def fit_reml(g: np.ndarray, zy: np.ndarray, n: float, sy: float, syy: float, denominator: float) -> dict:
     """intercept, lambda_ratio, variances and marker effects from moments (g = Z'Z, zy = Z'y, columns of Z centred)."""
     if n < 3:
@@ -62,16 +79,7 @@ def fit_reml(g: np.ndarray, zy: np.ndarray, n: float, sy: float, syy: float, den
     def quadratic(delta: float) -> float:
         return (centred - (w * w / (denominator * (d + delta))).sum()) / delta
 
-    def objective(log_ratio: float) -> float:
-        delta = np.exp(log_ratio) + JITTER
-        q = quadratic(delta)
-        if not q > 0:
-            return np.inf
-        return 0.5 * (np.log(d + delta).sum() + (n - m) * np.log(delta) + np.log(n / delta) + (n - 1) * np.log(q / (n - 1)))
-
-    best = bounded_minimum(objective, *LOG_RANGE)
-    if not np.isfinite(objective(best)):
-        raise ValueError("the likelihood has no finite optimum")
+    best = best_ratio(n, quadratic, lambda delta: np.log(d + delta).sum() + (n - m) * np.log(delta))
     ratio = float(np.exp(best))
     delta = ratio + JITTER
     genetic = quadratic(delta) / (n - 1)

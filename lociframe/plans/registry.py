@@ -201,7 +201,7 @@ def _row_sums(spark, sf, part):
     """fold, sample_i, n, row_sum and (but for "test") diagonal of the relationship matrices of all folds. Training columns
     add up to nothing, so there the sum is weighted, by the sample's place modulo 7."""
     dosage = A.dense_dosage(spark, sf)
-    geno = encode.pack(dosage).persist()
+    geno = encode.pack(dosage)
     k = gram.fold_relationships(geno, markers.filter_blup(_dense_stats(spark, sf)), part, 1e-4)
     weight = F.lit(1) if part == "own" else F.col("sample_j") % 7
     sums = [F.count(F.lit(1)).alias("n"), R(F.sum(F.col("value") * weight), 5).alias("row_sum")]

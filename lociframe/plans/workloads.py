@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lociframe.operators import encode, folds, gram, graph, legacy, markers, metrics, predict, qc, reml, ridge
+from lociframe.operators import encode, folds, gram, graph, krylov, legacy, markers, metrics, predict, qc, reml, ridge
 from lociframe.sources import readers, sinks
 
 
@@ -28,16 +28,32 @@ def training(dosage: DataFrame, samples: DataFrame, seed: int | None = None) ->
     return gram.training_moments(gram.family_gram(geno), plan)
 
 
-def gblup_lofo(dosage: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def gblup_lofo(dosage: DataFrame, samples: DataFrame, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions and the effects they come from."""
     effects = reml.fit_lofo(training(dosage, samples))
-    return predict.oof_table(samples, predict.predict_long(dosage, effects)), effects
+    return predict.oof_table(samples, predict.predict_packed(encode.pack(dosage), predict.pack_effects(effects)), ordered), effects
 
 
 def ridge_lofo(dosage: DataFrame, samples: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     plan = folds.validation_families(folds.make_folds(samples), seed)
     model = ridge.fit_nested(training(dosage, samples, seed), plan)
-    return predict.oof_table(samples, predict.predict_long(dosage, model)), model
+    return predict.oof_table(samples, predict.predict_packed(encode.pack(dosage), predict.pack_effects(model))), model
+
+
+def gblup_lofo_large(geno: DataFrame, samples: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
+    """gblup_lofo for panels of any number of markers (krylov.reml_large) from packed rows (family_id, sample_id, dosages,
+    yield), which are read once a step and should be stored or persisted."""
+    plan = folds.make_folds(samples)
+    folds.require_folds(plan)
+    effects = krylov.reml_large(geno, plan, **settings)
+    return predict.oof_table(samples, predict.predict_packed(geno, effects)), effects
+
+
+def ridge_lofo_large(geno: DataFrame, samples: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """ridge_lofo on all components (krylov.ridge_large), from packed rows as above."""
+    plan = folds.validation_families(folds.make_folds(samples), seed)
+    model = krylov.ridge_large(geno, plan)
+    return predict.oof_table(samples, predict.predict_packed(geno, model)), model
 
 
 def run_gblup(spark: SparkSession, data_dir: str, output_dir: str, run_id: str) -> str:
@@ -48,14 +64,14 @@ def run_gblup(spark: SparkSession, data_dir: str, output_dir: str, run_id: str)
     # A row for each family, taken to the driver: a recomputed one would describe files that may have changed.
     found = readers.describe_input_files(spark, files)
     manifest = spark.createDataFrame(found.collect(), found.schema)
-    oof, effects = gblup_lofo(dosage, samples)
+    oof, effects = gblup_lofo(dosage, samples, ordered=True)
     oof, effects = oof.cache(), effects.cache()
     if metrics.missing_predictions(oof).limit(1).count():
         raise ValueError("not every sample has one finite prediction")
     summary = metrics.metric_summary(oof)
     results = predict.fold_results(effects, metrics.fold_metrics(oof), folds.make_folds(samples))
     readers.verify_inputs_unchanged(readers.describe_input_files(spark, files), manifest)
-    tables = {"oof": oof, "metrics": summary, "folds": results, "fold_markers": effects, "input_manifest": manifest, "split": folds.split_digest(samples, folds.make_folds(samples))}
+    tables = {"oof": oof.select(*sinks.OOF_COLUMNS), "metrics": summary, "folds": results, "fold_markers": effects, "input_manifest": manifest, "split": folds.split_digest(samples, folds.make_folds(samples))}
     final = sinks.write_run_tables(spark, output_dir, run_id, tables)
     sinks.write_oof(oof, f"{output_dir}/oof_predictions")
     return final

@@ -56,7 +56,8 @@ def write_oof(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 def write_run_tables(spark: SparkSession, output_dir: str, run_id: str, tables: dict[str, DataFrame]) -> str:
     """All tables of a run under <output_dir>/<run_id>, visible together or not at all; a run id is used once."""
-    final, staged = f"{output_dir}/{run_id}", f"{output_dir}/.tmp-{run_id}"
+    # What a crash leaves behind has a name of its own, so the run id stays free.
+    final, staged = f"{output_dir}/{run_id}", f"{output_dir}/.tmp-{run_id}-{uuid.uuid4().hex}"
     fs, path = _fs(spark, final)
     if fs.exists(path(final)):
         raise FileExistsError(final)
