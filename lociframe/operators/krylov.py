@@ -82,10 +82,25 @@ class Lanczos:
         return np.maximum(theta, 0), vectors[0] ** 2
 
 
-def shifted_solutions(product: Product, b: np.ndarray, shifts: np.ndarray, residual: float = RESIDUAL, steps: int = 10 * STEPS) -> tuple[np.ndarray, np.ndarray]:
+def _from_basis(runs: Lanczos, norm: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """x of (A + shift) x = b in the space that the first start vector of each set has spanned; 0 if vectors are not all kept."""
+    q = np.zeros(runs.q.shape[:2])
+    if len(runs.basis) < len(runs.alpha):
+        return q
+    for i in range(len(q)):
+        a, b = np.array([x[i, 0] for x in runs.alpha]), np.array([x[i, 0] for x in runs.beta])
+        k = int(np.argmax(b == 0)) + 1 if (b == 0).any() else len(a)
+        t = np.diag(a[:k] + shift[i]) + np.diag(b[: k - 1], 1) + np.diag(b[: k - 1], -1)
+        c = np.linalg.solve(t, np.eye(k)[0] * norm[i])
+        for j in range(k):
+            q[i] += c[j] * runs.basis[j][i, :, 0]
+    return q
+
+
+def shifted_solutions(product: Product, b: np.ndarray, shifts: np.ndarray, residual: float = RESIDUAL, steps: int = 10 * STEPS, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """x of (A + shift) x = b for each set and shift, and the relative residual of the least shift of each set, from one run.
 
-    b: sets x markers; shifts: sets x number, positive. A residual of one shift is a multiple of that of the least one,
+    b: sets x markers; shifts: sets x number, positive; size: squared lengths that residuals are relative to (those of b). A residual of one shift is a multiple of that of the least one,
     never larger, so the run ends when those of all sets are small; raises if steps run out.
     """
     order = np.argsort(shifts, 1)
@@ -93,7 +108,7 @@ def shifted_solutions(product: Product, b: np.ndarray, shifts: np.ndarray, resid
     f, m, k = *b.shape, s.shape[1]
     x, p = np.zeros((f, m, k)), np.repeat(b[:, :, None], k, 2)
     r, rr = b.copy(), (b * b).sum(1)
-    first = np.maximum(rr, 1e-300)
+    first = np.maximum(rr if size is None else size, 1e-300)
     zeta, before = np.ones((f, k)), np.ones((f, k))
     alpha, beta = np.ones(f), np.zeros(f)
     for _ in range(steps):
@@ -189,8 +204,12 @@ def _reml_group(product: Product, sets: TrainingSets, denominator: np.ndarray, p
             break
     best = [fitted(i) for i in range(len(b))]
     ratio = np.exp([x for x, _ in best])
-    solved, residual = shifted_solutions(scaled, b, (ratio + JITTER)[:, None])
-    beta = solved[:, :, 0] / denominator[:, None]
+    # What Lanczos has found of the effects, and conjugate gradients for what is missing.
+    delta = (ratio + JITTER)[:, None]
+    known = _from_basis(runs, norm, delta[:, 0])
+    rest = b - scaled(known[:, :, None])[:, :, 0] - delta * known
+    solved, residual = shifted_solutions(scaled, rest, delta, size=norm**2)
+    beta = (known + solved[:, :, 0]) / denominator[:, None]
     genetic = (centred - (b * beta).sum(1)) / (ratio + JITTER) / (sets.n - 1)
     return [
         (name, beta[i].tobytes(), sets.mean[i].tobytes(), kept[i].astype(np.uint8).tobytes(), float(sets.sy[i] / sets.n[i]), float(ratio[i]), float(genetic[i]), float(ratio[i] * genetic[i]),
@@ -199,6 +218,22 @@ def _reml_group(product: Product, sets: TrainingSets, denominator: np.ndarray, p
     ]
 
 
+def long_effects(packed: DataFrame, *columns: str) -> DataFrame:
+    """held_out_family, marker_pos, retained, mean, beta, intercept and further columns of packed effects, a row for each
+    fold and marker."""
+    names = ["held_out_family", "intercept", *columns]
+    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                beta, mean, kept = (np.frombuffer(batch.column(len(names) + k)[i].as_py(), d) for k, d in enumerate((float, float, bool)))
+                same = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(len(beta), np.int64))) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(beta), dtype=np.int32)), pa.array(kept), pa.array(mean), pa.array(beta)], names=[*names, "marker_pos", "retained", "mean", "beta"])
+
+    return packed.select(*names, "effects", "means", "retained").mapInArrow(run, f"{kinds}, marker_pos int, retained boolean, mean double, beta double")
+
+
 def _united(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

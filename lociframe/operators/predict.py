@@ -130,3 +130,22 @@ def fold_results(effects: DataFrame, metrics: DataFrame, folds: DataFrame) -> Da
     fits = effects.groupBy("held_out_family").agg(*[F.first(c).alias(c) for c in ("lambda_ratio", "genetic_variance", "residual_variance", "n_retained", "n_train")])
     plan = folds.select("fold_index", F.col("held_out_family").cast("string").alias("held_out_family"))
     return plan.join(fits, "held_out_family").join(metrics.select(F.col("family_id").alias("held_out_family"), "r", "rmse"), "held_out_family")
+
+
+def equation_gaps(dosage: DataFrame, effects: DataFrame) -> DataFrame:
+    """held_out_family, n_train, n_retained, gap: how far the effects of each fold are from solving its equations, the largest
+    |z_j'(y - intercept - Z beta) - penalty_j beta_j| over the largest |z_j'(y - intercept)|.
+
+    dosage: a row for each sample and marker with its yield; effects: long, with penalty. A check for small panels: rows of
+    dosage are repeated for each fold.
+    """
+    use = effects.filter("retained").select("held_out_family", "marker_pos", "mean", "beta", "intercept", "penalty")
+    train = dosage.select(F.col("family_id").cast("string").alias("family_id"), "sample_id", "marker_pos", "dosage", F.col("yield").cast("double").alias("y"))
+    rows = train.join(use, "marker_pos").filter(F.col("family_id") != F.col("held_out_family")).withColumn("z", F.coalesce(F.col("dosage") - F.col("mean"), F.lit(0.0)))
+    key = ["held_out_family", "family_id", "sample_id"]
+    fitted = rows.groupBy(*key).agg(F.sum(F.col("z") * F.col("beta")).alias("f"))
+    left = rows.join(fitted, key).withColumn("e", F.col("y") - F.col("intercept"))
+    by = left.groupBy("held_out_family", "marker_pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * (F.col("e") - F.col("f"))).alias("own"), F.max(F.col("penalty") * F.col("beta")).alias("want"), F.sum(F.col("z") * F.col("e")).alias("size")
+    )
+    return by.groupBy("held_out_family").agg(F.max("n").alias("n_train"), F.count(F.lit(1)).alias("n_retained"), (F.max(F.abs(F.col("own") - F.col("want"))) / F.max(F.abs("size"))).alias("gap"))

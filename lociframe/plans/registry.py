@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lociframe.functions import scalars
-from lociframe.operators import encode, folds, graph, gram, legacy, markers, metrics, predict, qc, ridge, trials
+from lociframe.operators import encode, folds, gram, graph, krylov, legacy, markers, metrics, predict, qc, reml, ridge, trials
 from lociframe.sources import adapters as A
 
 from . import workloads
@@ -588,3 +588,66 @@ def pca_scores(spark, sf):
     dosage, samples = A.dense_dosage(spark, sf), A.dense_samples(spark, sf)
     z = markers.impute_center(dosage, markers.filter_feature(markers.lofo_marker_stats(dosage, samples)), scale=True)
     return predict.project(z, ridge.pca_loadings(workloads.training(dosage, samples)))
+
+
+# What models must satisfy: their own equations and traces, over the same training sets as SQL finds.
+
+_FEATURE = "feature AS (SELECT *, observed_rate >= 0.9 AND least(p, 1 - p) >= 0.01 AND variance > 2.220446049250313e-16 AS retained FROM (SELECT *, greatest(least((coalesce(mean, 0) + 1) / 2, 1), 0) AS p FROM stats))"
+
+
+def _equations(kept: str) -> str:
+    means = f"SELECT f.family_id AS held, avg(s.yield) AS intercept FROM (SELECT DISTINCT family_id FROM samples) f JOIN samples s ON s.family_id <> f.family_id GROUP BY 1"
+    return f"WITH {D}, {_LOFO}, {_FEATURE} SELECT held_out_family, CAST(max(n) AS BIGINT) AS n_train, count(*) AS n_retained, round(max(intercept), 4) AS intercept, CAST(0 AS DOUBLE) AS gap FROM {kept} JOIN ({means}) ON held = held_out_family WHERE retained GROUP BY 1"
+
+
+def _gaps(dosage, effects):
+    """held_out_family, n_train, n_retained, intercept and the gap in the equations, to seven places."""
+    gaps = predict.equation_gaps(dosage, effects)
+    centre = effects.groupBy("held_out_family").agg(R(F.max("intercept"), 4).alias("intercept"))
+    return gaps.join(centre, "held_out_family").select("held_out_family", "n_train", "n_retained", "intercept", F.abs(R("gap", 7)).alias("gap"))
+
+
+@_query("gblup_equations", _equations("blup"))
+def gblup_equations(spark, sf):
+    dosage = A.dense_dosage(spark, sf)
+    effects = reml.fit_lofo(workloads.training(dosage, A.dense_samples(spark, sf)))
+    return _gaps(dosage, effects.withColumn("penalty", F.col("denominator") * (F.col("lambda_ratio") + reml.JITTER)))
+
+
+@_query("gblup_large_equations", _equations("blup"))
+def gblup_large_equations(spark, sf):
+    dosage, samples = A.dense_dosage(spark, sf), A.dense_samples(spark, sf)
+    geno = encode.pack(dosage, ("yield",)).persist()
+    effects = krylov.long_effects(krylov.reml_large(geno, folds.make_folds(samples)), "denominator", "lambda_ratio")
+    geno.unpersist()
+    return _gaps(dosage, effects.withColumn("penalty", F.col("denominator") * (F.col("lambda_ratio") + reml.JITTER)))
+
+
+def _ridge_gaps(spark, sf, dosage, model):
+    stats = _dense_stats(spark, sf).select("held_out_family", "marker_pos", "variance", "n")
+    return _gaps(dosage, model.join(stats, ["held_out_family", "marker_pos"]).withColumn("penalty", F.col("ridge") * F.col("n") * F.col("variance")))
+
+
+@_query("ridge_equations", _equations("feature"))
+def ridge_equations(spark, sf):
+    """The panel has no more markers than components, so all are used."""
+    dosage, samples = A.dense_dosage(spark, sf), A.dense_samples(spark, sf)
+    plan = folds.validation_families(folds.make_folds(samples), 42)
+    return _ridge_gaps(spark, sf, dosage, ridge.fit_nested(workloads.training(dosage, samples, 42), plan))
+
+
+@_query("ridge_large_equations", _equations("feature"))
+def ridge_large_equations(spark, sf):
+    dosage, samples = A.dense_dosage(spark, sf), A.dense_samples(spark, sf)
+    geno = encode.pack(dosage, ("yield",)).persist()
+    model = krylov.ridge_large(geno, folds.validation_families(folds.make_folds(samples), 42))
+    geno.unpersist()
+    return _ridge_gaps(spark, sf, dosage, krylov.long_effects(model, "ridge"))
+
+
+@_query("component_traces", f"WITH {D}, {_LOFO}, {_FEATURE} SELECT held_out_family, count(*) AS n_components, round(max(n) * count(*) / (max(n) - 1), 5) AS variance, CAST(1 AS DOUBLE) AS ratio, CAST(0 AS DOUBLE) AS length_gap FROM feature WHERE retained GROUP BY 1")
+def component_traces(spark, sf):
+    """All components of each fold: their number, the sum of their variances and ratios, and how far loadings are from length one."""
+    rows = ridge.pca_loadings(workloads.training(A.dense_dosage(spark, sf), A.dense_samples(spark, sf)))
+    by = rows.groupBy("held_out_family", "component").agg(F.max("explained_variance").alias("v"), F.max("ratio").alias("r"), F.sum(F.col("loading") * F.col("loading")).alias("l"))
+    return by.groupBy("held_out_family").agg(F.count(F.lit(1)).alias("n_components"), R(F.sum("v"), 5).alias("variance"), R(F.sum("r")).alias("ratio"), R(F.max(F.abs(F.col("l") - 1))).alias("length_gap"))
