@@ -2,14 +2,18 @@
 
 A classifier trained on a labelled table gives each document a posterior over domains; its tokens count towards every
 domain by that share. Nonnegative rates (0 to 1: how likely a document is kept) are then fitted so that the expected
-tokens of the domains meet their targets: least squares with rates projected into [0, 1], solved in its dual by Newton
-steps with a line search, each one distributed sum over the written table of documents. A rate depends on a document's
-shares, not on its length, so long documents neither slow the fit nor are thinned first; it follows from one weight for
-each domain, so nothing is kept per document.
+tokens of the domains meet targets given as weights of the mixture: least squares of the gaps (squared, over the tokens the
+domain has) by projected gradient, from all rates at 1, with momentum that starts anew where it would lead away.
+
+A step takes from a document's rate the gaps' relative sizes weighted by its posterior, so steps are of length one at any
+size of the corpus and whatever the lengths of documents: the matrix of the steps has eigenvalues from 0 to 1. Each is one
+distributed sum over the written table of posteriors. A document's rate is replayed from the steps' gaps, a few numbers
+each, so nothing is kept per document and the same rates come from the texts again.
 
 Defined edge cases: a null or empty text has one token (its end) and the posterior of a text without features;
 repeated rows are documents of their own; domains without labelled rows get no share, and with fewer than two domains
-every rate is 1; an empty table gives an empty result; extra columns are ignored by the fit and kept by `thinned`.
+every rate is 1; a domain of the model must have a weight (0 drops it); an empty table gives an empty result; extra columns
+are ignored by the fit and kept by `thinned`.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from .tables import fresh, table, written
 from .text import U64, chunks, mix
 
 #: Labelled rows used for training, at most; steps, at most.
-SAMPLE, STEPS = 12_000, 40
-#: Weight of the tokens lost beside the gaps to the targets; lengths of a step that are tried.
-NEAR, TRIED = 1e-4, np.concatenate((0.5 ** np.arange(6), 0.25 ** np.arange(4, 14)))
-#: Shares of the expected tokens of the corpus: documents of low quality are thinned to half of theirs.
-KEEP_SHARE = {"low": 0.5, "good": 1.0}
+SAMPLE, STEPS = 12_000, 150
+#: Target weights of the query's mixture: good text by language, and text of low quality.
+WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.1, "low": 0.05}
+#: Tokens of a mixture, as a share of what its scarcest domain allows: with soft membership its documents are others' too.
+FILL = 0.9
+#: Target weights of the pipeline's mixture, in which all good text stays.
+QUALITY_WEIGHTS = {"good": 0.95, "low": 0.05}
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(x) for x in "#*$%&|<>"]] = True
@@ -136,68 +142,92 @@ def train(documents: DataFrame, labels: DataFrame, domain: Column, key: str = "d
     return DomainModel(names, fit_softmax(x, np.array([names.index(r["d"]) for r in rows]), len(names)))
 
 
-def rates_from(a: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Rates of documents (a: tokens by domain): each moves from 1 along its token shares, not its tokens, into [0, 1]."""
-    n = a.sum(1)
-    return np.clip(1 - np.divide(a @ g, n, out=np.zeros(len(a)), where=n > 0), 0, 1)
+Step = tuple[np.ndarray, float]
+
+
+def rates_from(p: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents (p: posteriors) after the steps (relative gaps, momentum), and where the next step starts from."""
+    r = ahead = np.ones(len(p))
+    for gap, momentum in steps:
+        now = np.clip(ahead - p @ gap, 0, 1)
+        r, ahead = now, now + momentum * (now - r)
+    return r, ahead
 
 
-def fit_rates(shares: DataFrame, targets: np.ndarray, max_steps: int = STEPS, tolerance: float = 1e-4) -> np.ndarray:
-    """Domain weights of the rates (see rates_from) for shares (a: tokens by domain); targets: wanted tokens of each domain.
+def fit_rates(shares: DataFrame, targets: np.ndarray, max_steps: int = STEPS, tolerance: float = 1e-3) -> list[Step]:
+    """Steps of the rates (see rates_from) for shares (p: posteriors, n: tokens); targets: wanted tokens of each domain.
 
-    Of all rates in [0, 1], those with the least sum of squared gaps, relative to the targets, and (NEAR as much) the
-    least tokens lost. Its dual is convex and as small as the domains: a step is one of Newton, over the documents whose
-    rates are inside (0, 1), and the best of TRIED lengths is taken. Raises if steps run out before the gradient, the
-    gap that other rates in [0, 1] could close, is below the tolerance of the targets.
+    Ends when all totals are within the tolerance of their targets, or, where rates from 0 to 1 can't meet them, when two
+    steps change no total by more than a tenth of it. Raises if steps run out before.
     """
     k = len(targets)
-    size = max(float(np.abs(targets).sum()), 1.0)
-    scale = np.maximum(np.abs(targets), 1e-3 * size)
-    keep = NEAR * np.diag(scale**2 / size)
 
-    def sums(points: np.ndarray) -> np.ndarray:
-        """For each point: the potential, the expected tokens and the moments of the documents inside."""
+    def totals(steps: list[Step]) -> np.ndarray:
+        """Expected tokens by domain: of all documents, at the rates, and where the next step starts from."""
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((3, k))
             for batch in batches:
-                a = np.array(batch.column(0).to_pylist(), dtype=float).reshape(-1, k)
-                n = a.sum(1)
-                p = np.divide(a, n[:, None], out=np.zeros_like(a), where=n[:, None] > 0)
-                out = []
-                for g in points:
-                    u = p @ g
-                    part = np.clip(u, 0, 1)
-                    inside = (u >= 0) & (u < 1)
-                    out += [float((n * (part**2 / 2 - part - np.minimum(u, 0))).sum()), *(a * (1 - part)[:, None]).sum(0).tolist(), *(a[inside].T @ p[inside]).ravel().tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["s"])
-
-        width = len(points) * (1 + k + k * k)
-        got = shares.select("a").mapInArrow(total, "s array<double>").select(F.posexplode("s").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()
-        out = np.zeros(width)
+                p = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                n = batch.column(1).to_numpy(zero_copy_only=False)
+                r, ahead = rates_from(p, steps)
+                out += np.stack((n, n * r, n * ahead)) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        got = shares.select("p", "n").mapInArrow(total, "s array<double>").select(F.posexplode("s").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()
+        out = np.zeros(3 * k)
         for r in got:
             out[r["i"]] = r["s"]
-        return out.reshape(len(points), -1)
+        return out.reshape(3, k)
 
-    points = np.zeros((1, k))
+    steps: list[Step] = []
+    speed, before, still = 1.0, None, 0
     for _ in range(max_steps):
-        got = sums(points)
-        values = got[:, 0] + points @ targets + ((points @ keep) * points).sum(1) / 2
-        best = int(values.argmin())
-        g, gradient = points[best], keep @ points[best] + targets - got[best, 1 : 1 + k]
-        if (np.abs(gradient) <= tolerance * scale).all():
-            return g
-        step = np.linalg.solve(keep + got[best, 1 + k :].reshape(k, k), gradient)
-        points = np.concatenate((g[None] - step * TRIED[:, None], g[None]))
-    raise RuntimeError(f"rates not fitted in {max_steps} steps: gradient {gradient.tolist()} of targets {targets.tolist()}")
-
-
-def _prepared(df: DataFrame, model: DomainModel, keep_share: dict[str, float], key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """Posteriors of all rows, written once, and the fitted weights."""
-    rows = written(_featured(df.select(key, text), [key], text, model), "posteriors")
-    shares = rows.select(F.transform("x", lambda p: p * F.col("n_tokens")).alias("a"))
-    now = shares.agg(*[F.sum(F.col("a")[i]).alias(f"s{i}") for i in range(len(model.domains))]).first()
-    targets = np.array([(x or 0.0) * keep_share.get(d, 1.0) for x, d in zip(now, model.domains)])
-    return rows, fit_rates(shares, targets)
+        every, now, ahead = totals(steps)
+        size = np.maximum(every, 1.0)
+        gap = (now - targets) / size
+        cost = float((gap * gap * size).sum())
+        if before is not None:
+            still = still + 1 if (np.abs(now - before[0]) <= 0.1 * tolerance * size).all() else 0
+            if cost > before[1]:
+                # Momentum leads away: the next step starts from the rates themselves.
+                speed = 1.0
+                steps[-1] = (steps[-1][0], 0.0)
+                ahead = now
+        if (np.abs(now - targets) <= tolerance * np.maximum(targets, 1e-3 * size)).all() or still == 2:
+            return steps
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        steps.append(((ahead - targets) / size, (speed - 1) / faster))
+        speed, before = faster, (now, cost)
+    raise RuntimeError(f"rates not fitted in {max_steps} steps: gaps {gap.tolist()} of domains with {every.tolist()} tokens")
+
+
+def targets_of(now: np.ndarray, domains: list[str], weights: dict[str, float], whole: str | None = None, fill: float = FILL) -> np.ndarray:
+    """Wanted tokens of each domain (which has `now`) for a mixture of the given weights: `fill` times as many as the scarcest
+    domain allows; with `whole`, as many as go with all of that domain, where what others lack is not made up."""
+    if missing := [d for d in domains if d not in weights]:
+        raise ValueError(f"domains without a target weight: {missing}")
+    w = np.array([weights[d] for d in domains], float)
+    if (w < 0).any() or not w.sum() > 0:
+        raise ValueError("target weights must be nonnegative, and one positive")
+    if whole is not None and whole in domains and weights[whole] > 0:
+        at = domains.index(whole)
+        return np.minimum(w * now[at] / w[at], now)
+    used = (w > 0) & (now > 0)
+    return w * fill * (now[used] / w[used]).min() * (now > 0) if used.any() else np.zeros(len(w))
+
+
+def weights_in(table: DataFrame) -> dict[str, float]:
+    """Weights from a table (domain, weight) with a row for each domain."""
+    return {r["domain"]: float(r["weight"]) for r in table.select("domain", "weight").collect()}
+
+
+def _prepared(df: DataFrame, model: DomainModel, weights: dict[str, float], whole: str | None, key: str, text: str) -> tuple[DataFrame, list[Step]]:
+    """Posteriors of all rows, written once, and the fitted steps."""
+    rows = written(_featured(df.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"], "text", model), "posteriors")
+    shares = rows.select(F.col("x").alias("p"), F.col("n_tokens").cast("double").alias("n"))
+    now = shares.agg(*[F.sum(F.col("p")[i] * F.col("n")).alias(f"s{i}") for i in range(len(model.domains))]).first()
+    return rows, fit_rates(shares, targets_of(np.array([x or 0.0 for x in now]), model.domains, weights, whole))
 
 
 def _unit(key: str) -> Column:
@@ -205,32 +235,31 @@ def _unit(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def mixed(df: DataFrame, model: DomainModel | None, keep_share: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed(df: DataFrame, model: DomainModel | None, weights: dict[str, float], whole: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, posterior by domain (p_<domain>), rate and kept of every row.
 
-    keep_share: for each domain, its wanted tokens as a share of its expected ones. A row is kept if the number that
-    the hash of its key gives, from 0 to 1, lies below its rate.
+    weights: of the domains in the mixture (see targets_of). A row is kept if the number that the hash of its key gives, from
+    0 to 1, lies below its rate.
     """
     if model is None:
         return _featured(df, [key], text, None).select(key, "n_tokens", F.lit(1.0).alias("rate"), F.lit(True).alias("kept"))
-    rows, weights = _prepared(df, model, keep_share, key, text)
+    rows, steps = _prepared(df, model, weights, whole, key, text)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.array(batch.column(2).to_pylist(), dtype=float).reshape(batch.num_rows, len(model.domains))
-            a = p * batch.column(1).to_numpy(zero_copy_only=False)[:, None]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_from(a, weights))], names=[key, "n_tokens", "x", "rate"])
+            p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model.domains))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_from(p, steps)[0])], names=["key", "n_tokens", "x", "rate"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", rate double"
     out = rows.mapInArrow(rate, schema)
-    return out.select(key, "n_tokens", *[F.col("x")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", (_unit(key) < F.col("rate")).alias("kept"))
+    return out.select(F.col("key").alias(key), "n_tokens", *[F.col("x")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", (_unit("key") < F.col("rate")).alias("kept"))
 
 
-def thinned(df: DataFrame, model: DomainModel | None, keep_share: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+def thinned(df: DataFrame, model: DomainModel | None, weights: dict[str, float], whole: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that `mixed` keeps, with all their columns; rates are found again from the text, without a join."""
     if model is None:
         return df
-    _, weights = _prepared(df, model, keep_share, key, text)
+    _, steps = _prepared(df, model, weights, whole, key, text)
     marked = df.withColumn(fresh(df, "_text"), F.col(text).cast("string"))
     marked = marked.withColumn(fresh(marked, "_unit"), F.coalesce(_unit(key), F.lit(0.0)))
 
@@ -239,7 +268,7 @@ def thinned(df: DataFrame, model: DomainModel | None, keep_share: dict[str, floa
         for batch in batches:
             rates = [np.zeros(0)]
             for c in chunks(batch.column(batch.num_columns - 2)):
-                rates.append(rates_from(model.posterior(described(c)) * (c.n_words + 1)[:, None], weights))
+                rates.append(rates_from(model.posterior(described(c)), steps)[0])
             mask = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) < np.concatenate(rates)
             yield pa.RecordBatch.from_arrays(batch.columns[:-2], schema=pa.schema(list(batch.schema)[:-2])).filter(pa.array(mask))
 
@@ -250,7 +279,13 @@ def quality_domain() -> Column:
     return F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
 
 
+def language_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, domain of the labelled documents: low where quality is 0, the language of the others."""
+    known = labels.filter("quality is not null").select("doc_id", "quality").join(documents.select("doc_id", "lang"), "doc_id")
+    return known.select("doc_id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = train(documents, table(spark, sf_dir, "labels"), quality_domain())
-    return mixed(documents, model, KEEP_SHARE)
+    model = train(documents, language_labels(documents, table(spark, sf_dir, "labels")), F.col("domain"))
+    return mixed(documents, model, WEIGHTS)

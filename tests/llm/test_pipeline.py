@@ -34,7 +34,7 @@ def test_stages_equal_their_operators_and_brute_force(spark, sf_dir):
             assert after.filter("n_chars <> length(text)").count() == 0
         else:
             model = mixing.train(docs, labels, mixing.quality_domain())
-            assert set(got) == {r["doc_id"] for r in mixing.mixed(docs, model, mixing.KEEP_SHARE).collect() if r["kept"]}
+            assert set(got) == {r["doc_id"] for r in mixing.mixed(docs, model, mixing.QUALITY_WEIGHTS, whole="good").collect() if r["kept"]}
         if name != "personal_data":
             assert got.items() <= dict(before).items()
         docs = after
