@@ -31,9 +31,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned so that low-quality text keeps half of its expected tokens."""
+    """Documents thinned to the target weights of good and low-quality text; all good text stays."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), mixing.quality_domain())
-    return mixing.thinned(docs, model, mixing.KEEP_SHARE)
+    return mixing.thinned(docs, model, mixing.QUALITY_WEIGHTS, whole="good")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
