@@ -111,3 +111,67 @@ def split_digest(samples: DataFrame, folds: DataFrame, strategy: str = "leave_on
     plan = folds.agg(F.array_sort(F.collect_list(fold)).alias("p"))
     text = F.concat_ws(";", F.lit(strategy), F.array_join("f", "|"), F.array_join("p", "|"))
     return families.join(F.broadcast(plan), F.lit(True)).select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("split_digest"))
+
+
+#: Places of a leaf of the sample tree; children of an inner node.
+LEAF, FANOUT = 256, 16
+
+
+def _parents(nodes: DataFrame, fanout: int) -> DataFrame:
+    """Nodes one level up: of at most `fanout` children each, in order."""
+    up = nodes.select("family_id", (F.col("level") + 1).alias("level"), F.floor(F.col("node") / fanout).cast("bigint").alias("node"), F.struct("node", "digest").alias("c"), "n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: F.concat_ws("=", x["node"].cast("string"), x["digest"])), "|")
+    return up.groupBy("family_id", "level", "node").agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))
+
+
+def sample_tree(samples: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+    """family_id, level, node, n, digest of a hash tree over the samples (family_id, sample_pos, sample_id) of each family.
+
+    Node k of level 0 is the SHA-256 of the samples at the places from k * leaf on, in order, with their places; a node above
+    is that of its children's numbers and digests. The one node of a family's highest level stands for the family: samples,
+    places and membership. A group holds `leaf` places or `fanout` nodes (places are unique in a family; several samples at
+    one all count, by name). Levels end where every family has one node, so their number is the logarithm of the largest.
+    """
+    name = F.struct(F.col("sample_pos").alias("p"), F.col("sample_id").cast("string").alias("s"))
+    rows = samples.select(F.col("family_id").cast("string").alias("family_id"), F.floor(F.col("sample_pos") / leaf).cast("bigint").alias("node"), name.alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x["p"].cast("string"), F.coalesce(x["s"], F.lit("")))), "|")
+    level = rows.groupBy("family_id", "node").agg(F.count(F.lit(1)).alias("n"), F.sha2(text, 256).alias("digest")).select("family_id", F.lit(0).alias("level"), "node", "n", "digest")
+    top = samples.agg(F.max("sample_pos").alias("m")).first()["m"]
+    out, nodes = level, (int(top) // leaf + 1) if top is not None else 0
+    while nodes > 1:
+        level = _parents(level, fanout)
+        out, nodes = out.unionByName(level), -(-nodes // fanout)
+    return out
+
+
+def tree_root(tree: DataFrame, folds: DataFrame, strategy: str = "leave_one_family_out") -> DataFrame:
+    """One row, split_digest: SHA-256 of the strategy, the families' highest nodes and the folds (a row for each) with their
+    families."""
+    top = tree.groupBy("family_id").agg(F.max_by("digest", "level").alias("d"))
+    families = top.agg(F.array_sort(F.collect_list(F.concat_ws("=", "family_id", "d"))).alias("f"))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    fold = F.concat_ws(":", F.lpad(F.col("fold_index").cast("string"), 6, "0"), ids("train_family_ids"), ids("test_family_ids"))
+    plan = folds.agg(F.array_sort(F.collect_list(fold)).alias("p"))
+    text = F.concat_ws(";", F.lit(strategy), F.array_join("f", "|"), F.array_join("p", "|"))
+    return families.join(F.broadcast(plan), F.lit(True)).select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("split_digest"))
+
+
+def tree_difference(a: DataFrame, b: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+    """family_id, first_place, last_place of the leaves in which two trees (of the same leaf and fanout) differ.
+
+    From the highest level down: only children of nodes that differ, or that one tree lacks, are compared. Trees should be
+    stored: each level reads them.
+    """
+    top = max((x for x in (t.agg(F.max("level").alias("m")).first()["m"] for t in (a, b)) if x is not None), default=None)
+    if top is None:
+        return a.select("family_id", F.lit(0).cast("bigint").alias("first_place"), F.lit(0).cast("bigint").alias("last_place"))
+    sides = a.select("level", "family_id", "node", F.col("digest").alias("da"), F.lit(None).cast("string").alias("db"))
+    sides = sides.unionByName(b.select("level", "family_id", "node", F.lit(None).cast("string").alias("da"), F.col("digest").alias("db")))
+    differing = None
+    for level in range(top, -1, -1):
+        own = sides.filter(F.col("level") == level)
+        if differing is not None:
+            own = own.withColumn("parent", F.floor(F.col("node") / fanout).cast("bigint")).join(differing.withColumnRenamed("node", "parent"), ["family_id", "parent"], "left_semi")
+        both = own.groupBy("family_id", "node").agg(F.max("da").alias("da"), F.max("db").alias("db"))
+        differing = both.filter(~F.col("da").eqNullSafe(F.col("db"))).select("family_id", "node")
+    return differing.select("family_id", (F.col("node") * leaf).alias("first_place"), ((F.col("node") + 1) * leaf - 1).alias("last_place"))

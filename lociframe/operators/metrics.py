@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .folds import tree_difference
+
 #: Fixed value: a range of observed or predicted values up to this counts as constant.
 EPSILON = 2.220446049250313e-16
 
@@ -83,11 +85,15 @@ def missing_predictions(oof: DataFrame) -> DataFrame:
     return per.filter("n <> 1 or finite <> 1")
 
 
-def compare_models(a: DataFrame, b: DataFrame, split_a: DataFrame | None = None, split_b: DataFrame | None = None) -> DataFrame:
+def compare_models(a: DataFrame, b: DataFrame, split_a: DataFrame | None = None, split_b: DataFrame | None = None, tree_a: DataFrame | None = None, tree_b: DataFrame | None = None) -> DataFrame:
     """Rows (scope, fold, r_a, r_b, r_difference, rmse_a, rmse_b, rmse_difference) of two tables over the same samples.
 
-    split_a, split_b: one-row tables with the split_digest of each run; if given, they must be equal.
+    split_a, split_b: one-row tables with the split_digest of each run; if given, they must be equal. With the hash trees of
+    their samples (folds.sample_tree), an error names the families and places that differ.
     """
+    if tree_a is not None and tree_b is not None:
+        if places := tree_difference(tree_a, tree_b).orderBy("family_id", "first_place").limit(5).collect():
+            raise ValueError(f"the tables come from different splits: samples differ in {[(r['family_id'], r['first_place'], r['last_place']) for r in places]}")
     if split_a is not None or split_b is not None:
         digests = [s.select("split_digest").first() if s is not None else None for s in (split_a, split_b)]
         if None in digests or digests[0] != digests[1]:

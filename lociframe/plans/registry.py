@@ -309,6 +309,20 @@ def split_digest(spark, sf):
     return folds.split_digest(samples, folds.make_folds(samples))
 
 
+_TREE = f"""WITH RECURSIVE {D}, leaf AS (
+  SELECT family_id, sample_pos // 16 AS node, count(*) AS n, sha256(string_agg(CAST(sample_pos AS VARCHAR) || ':' || sample_id, '|' ORDER BY sample_pos, sample_id)) AS digest FROM samples GROUP BY ALL
+), tree AS (
+  SELECT family_id, 0 AS level, CAST(node AS BIGINT) AS node, CAST(n AS BIGINT) AS n, digest, (SELECT max(sample_pos) // 16 + 1 FROM samples) AS nodes FROM leaf
+  UNION ALL
+  SELECT family_id, level + 1, CAST(node // 4 AS BIGINT), CAST(sum(n) AS BIGINT), sha256(string_agg(CAST(node AS VARCHAR) || '=' || digest, '|' ORDER BY node)), (nodes + 3) // 4 FROM tree WHERE nodes > 1 GROUP BY family_id, level, node // 4, nodes
+) SELECT family_id, level, node, n, digest FROM tree"""
+
+
+@_query("sample_tree", _TREE)
+def sample_tree(spark, sf):
+    return folds.sample_tree(A.dense_samples(spark, sf), 16, 4)
+
+
 # Metrics
 
 _OOF = "oof AS (SELECT CAST(c_nationkey AS VARCHAR) AS family_id, CAST(o_orderkey AS VARCHAR) AS sample_name, CAST(o_totalprice AS DOUBLE) AS o, CAST(c_acctbal AS DOUBLE) AS p, CAST(o_totalprice AS DOUBLE) * 0.5 + CAST(c_acctbal AS DOUBLE) AS p2 FROM orders JOIN customer ON o_custkey = c_custkey)"

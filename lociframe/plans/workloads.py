@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lociframe.operators import encode, folds, gram, graph, krylov, legacy, markers, metrics, predict, qc, reml, ridge
@@ -9,9 +10,11 @@ from lociframe.sources import readers, sinks
 
 
 def load_strict(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, modelled samples (with traits) and dosages of a directory of family files; raises on any violation."""
+    """Files, modelled samples (with traits) and dosages of a directory of family files; raises on any violation. Genotype
+    files are read once: their cells are kept on disk for checks and encoding."""
     files = readers.list_family_files(spark, data_dir)
-    phenotype, headers, calls = readers.read_phenotypes(spark, files), readers.read_genotype_headers(spark, files), readers.read_calls(spark, files)
+    cells = readers.read_genotypes(spark, files).persist(StorageLevel.DISK_ONLY)
+    phenotype, headers, calls = readers.read_phenotypes(spark, files), readers.genotype_headers(cells), readers.genotype_calls(cells)
     qc.assert_valid(qc.validate(phenotype, headers, calls))
     samples = qc.strict_traits(qc.without_founders(phenotype))
     return files, samples, encode.encode_calls(qc.align(phenotype, calls))

@@ -276,3 +276,30 @@ def test_a_sample_named_as_its_nation_is_kept(spark):
     traits = spark.createDataFrame([("P15_NAM15", "15", 0, "3.5"), ("P15_NAM15", "P15", 1, "4.5")], "family_id string, sample_id string, sample_pos int, yield_raw string")
     calls = spark.createDataFrame([("P15_NAM15", "15", "m1", "A"), ("P15_NAM15", "P15", "m1", "B")], "family_id string, sample_id string, marker_id string, call string")
     assert [r["sample_id"] for r in qc.align(traits, calls).collect()] == ["15"]
+
+
+def test_hash_tree_finds_what_differs(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f, i, f"{f}{i}") for f, n in (("A", 300), ("B", 40), ("C", 1)) for i in range(n)]
+    samples = spark.createDataFrame(rows, "family_id string, sample_pos long, sample_id string")
+    plan = folds.make_folds(samples)
+    tree = lambda s: folds.sample_tree(s, 8, 4).persist()
+    one = tree(samples)
+    root = lambda t, p=plan, k="leave_one_family_out": folds.tree_root(t, p, k).first()[0]
+    assert root(one) == root(tree(samples.repartition(7))) and one.filter("family_id = 'A'").agg(F.max("level")).first()[0] == 3
+    swapped = samples.withColumn("sample_id", F.when(F.col("sample_id") == "A17", "A18").when(F.col("sample_id") == "A18", "A17").otherwise(F.col("sample_id")))
+    moved = samples.withColumn("family_id", F.when(F.col("sample_id") == "B39", "C").otherwise(F.col("family_id")))
+    less = samples.filter("sample_id <> 'A299'")
+    more = samples.union(spark.createDataFrame([("A", 5000, "new")], samples.schema))
+    places = lambda s: {tuple(r) for r in folds.tree_difference(one, tree(s), 8, 4).collect()}
+    assert places(samples) == set()
+    assert places(swapped) == {("A", 16, 23)} and places(less) == {("A", 296, 303)} and places(moved) == {("B", 32, 39), ("C", 32, 39)} and places(more) == {("A", 5000, 5007)}
+    roots = [root(tree(s)) for s in (samples, swapped, moved, less, more)] + [root(one, plan.filter("fold_index > 0")), root(one, plan, "random")]
+    assert len(set(roots)) == len(roots)
+    assert folds.tree_difference(tree(samples.limit(0)), tree(samples.limit(0))).count() == 0
+    oof = samples.select("family_id", F.col("sample_id").alias("sample_name"), F.col("sample_pos").cast("double").alias("observed_yield_kg_ha"), F.lit(1.0).alias("predicted_yield_kg_ha"))
+    whole = folds.sample_tree(samples).persist()
+    assert metrics.compare_models(oof, oof, tree_a=whole, tree_b=whole).count() == 5
+    with pytest.raises(ValueError, match=r"'A', 0, 255"):
+        metrics.compare_models(oof, oof, tree_a=whole, tree_b=folds.sample_tree(swapped).persist())
