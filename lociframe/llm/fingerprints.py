@@ -4,8 +4,8 @@ A fingerprint is the sorted set of kept hashes, so fingerprints of parts merge b
 one document in another is estimated however unequal they are. Shingles are runs of five words; a text of fewer words
 is one shingle. The smallest hash is always kept, so that a text with words never has an empty fingerprint; only in that
 case (no hash below the threshold) is a fingerprint not the plain set of small hashes, and a union of parts may then hold
-one hash more than the fingerprint of the whole. Kept hashes are 32 bits wide: two of a union of a million collide with a
-chance of about 1e-4 each.
+one hash more than the fingerprint of the whole. Kept hashes are 31 bits wide: two of a union of a million collide with a
+chance of about 2e-4 each. A smallest hash that is not below the fraction has a bit of its own, so it is never taken for one.
 
 Defined edge cases: a null text is an empty one, with the empty fingerprint; two empty fingerprints are alike (1), an
 empty and another one are not (0). Repeated ids stand next to each other in the order of documents; extra columns are
@@ -30,17 +30,19 @@ WORDS, SCALE = 5, 8
 
 
 def scaled_sets(col: pa.Array, words: int = WORDS, scale: int = SCALE) -> Iterator[np.ndarray]:
-    """Kept hashes of each text: distinct, sorted, the upper 32 bits of each."""
+    """Kept hashes of each text: distinct, sorted, 31 bits of each by their size below the limit; a smallest hash above it has
+    bit 31 and its upper 31 bits."""
     limit = np.uint64((2**64 - 1) // scale)
+    shift = np.uint64(64 - (scale.bit_length() - 1) - 31)
     for c in chunks(col):
         h, offsets = shingles(c.hashes, c.words, words)
         keep = h <= limit
         keep_at = np.concatenate(([0], np.cumsum(keep)))[offsets]
-        kept = (h[keep] >> np.uint64(29)).astype(np.uint32)
+        kept = np.minimum(h[keep] >> shift, np.uint64(2**31 - 1)).astype(np.uint32)
         for i in range(c.hi - c.lo):
             own = kept[keep_at[i] : keep_at[i + 1]]
             if not len(own) and offsets[i + 1] > offsets[i]:
-                own = (h[offsets[i] : offsets[i + 1]].min(keepdims=True) >> np.uint64(29)).astype(np.uint32)
+                own = (h[offsets[i] : offsets[i + 1]].min(keepdims=True) >> np.uint64(33)).astype(np.uint32) | np.uint32(1 << 31)
             yield np.unique(own)
 
 
