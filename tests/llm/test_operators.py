@@ -234,6 +234,12 @@ def test_passages_in_repetitive_texts(spark):
     assert n < 4 * (3000 // (substrings.LEAST // 2) + 60)
 
 
+def test_stretches_keep_48_bits():
+    h = np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64)
+    data = substrings.narrow(h)
+    assert len(data) == 6000 and np.array_equal(substrings.widened(data), h >> np.uint64(16)) and len(substrings.widened(b"")) == 0
+
+
 def test_windows_of_one_repeated_word_are_linear():
     import time
 
