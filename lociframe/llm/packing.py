@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import table
-from .text import Chunk, chunks, release, span_hashes
+from .text import _SPACE, Chunk, chunks, release, span_hashes
 
 LENGTH = 1024
 END_ID = 0
@@ -116,23 +116,39 @@ class Encoder:
         ranks = {bytes(map(byte_of().__getitem__, piece)): i for piece, i in self.tokenizer.get_vocab(False).items() if set(piece) <= byte_of().keys()}
         ranks = {k: i for k, i in ranks.items() if i not in self.tokenizer.get_added_tokens_decoder()}
         self.words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.line_feed = self.words.encode_ordinary("\n")[0]
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[int, int] = {}
         self.arena, self.used = np.empty(1 << 20, np.uint32), 0
 
-    def remember(self, keys: list[int], texts: list[str]) -> None:
-        short, long = self.words.encode_ordinary, self.tokenizer
+    def remember(self, keys: list[int], texts: list[bytes], joinable: np.ndarray) -> None:
+        """Encodes and keeps runs. Those that are joinable (a word, with a space before it or not) go in one call, parted by
+        line feeds: the pattern parts a line feed from what stands around it, and no word has one."""
+        parts = [np.zeros(0, np.uint32)]
+        one, rest = np.flatnonzero(joinable).tolist(), np.flatnonzero(~joinable).tolist()
+        end = self.used
+        if one:
+            ids = np.array(self.words.encode_ordinary((b"\n".join([texts[i] for i in one]) + b"\n").decode("utf-8", "replace")), np.uint32)
+            stops = np.flatnonzero(ids == self.line_feed)
+            sizes = np.diff(stops, prepend=-1) - 1
+            for i, stop, size in zip(one, (end + np.cumsum(sizes)).tolist(), sizes.tolist()):
+                self.known[keys[i]] = stop - size << 32 | size
+            parts.append(ids[ids != self.line_feed])
+            end += len(parts[-1])
         flat: list[int] = []
-        for key, text in zip(keys, texts):
-            ids = short(text) if len(text) < 64 else long.encode(text, add_special_tokens=False).ids
-            self.known[key] = self.used + len(flat) << 32 | len(ids)
+        for i in rest:
+            text = texts[i].decode("utf-8", "replace")
+            ids = self.words.encode_ordinary(text) if len(text) < 64 else self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.known[keys[i]] = end + len(flat) << 32 | len(ids)
             flat += ids
-        end = self.used + len(flat)
+        parts.append(np.array(flat, np.uint32))
+        new = np.concatenate(parts)
+        end = self.used + len(new)
         if end > len(self.arena):
             self.arena = np.concatenate((self.arena[: self.used], np.empty(max(2 * end, 1 << 20), np.uint32)))
-        self.arena[self.used : end] = flat
+        self.arena[self.used : end] = new
         self.used = end
 
     def spans(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +201,9 @@ class Encoder:
         if missing:
             where = first[missing]
             raw = c.data.tobytes()
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where].tolist(), ends[where].tolist())]
-            self.remember([keys[i] for i in missing], texts)
+            texts = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist())]
+            word = ~_SPACE[c.data[ends[where] - 1]] & (ends[where] - starts[where] < 64)
+            self.remember([keys[i] for i in missing], texts, word & ~self.odd(c)[np.searchsorted(c.offsets, starts[where], side="right") - 1])
             for i in missing:
                 got[i] = self.known[keys[i]]
         place = np.array(got, dtype=np.int64)

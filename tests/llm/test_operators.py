@@ -488,6 +488,22 @@ def test_packing_round_trip(spark, awkward, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    import public_tokenizers
+    import pyarrow as pa
+    from lociframe.llm.text import chunks
+
+    np.seterr(over="ignore")
+    texts = ["a\nb", "\n", "x \n y", " ", "a  b\t\tc", "\r\nq", "é x\u00a0y", "won't 'tis", "a" * 100 + " b", "1234 5.6,\n\n7", "<|endoftext|> hi", "tab\tword   z", "\x1c a\x1db", "", "a\u2003b", *[prose(i, 40) for i in range(20)]]
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):  # what is remembered is the same
+        for c in chunks(pa.array(texts), lower=False):
+            ids, lengths, _ = encoder.encode(c)
+            ends = np.cumsum(lengths)
+            for t, end, n in zip(texts[c.lo : c.hi], ends, lengths):
+                assert ids[end - n : end].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID], t
+
+
 def test_best_cuts_are_optimal():
     import random
 
