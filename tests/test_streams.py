@@ -72,11 +72,11 @@ def test_digests_do_not_depend_on_pieces(spark, tmp_path, monkeypatch):
 
 def processed(folder, n=7, m=5, rows=None, trait="Yld (kg/ha)", family=True):
     x = np.random.default_rng(1).integers(-1, 2, (rows or n, m)).astype(np.int8)
-    np.save(folder / "X_genotype_int8.npy", x)
+    np.save(folder / "matrix.npy", x)
     head = f",{trait}" + (",family_id" if family else "")
     (folder / "y.csv").write_text(head + "\n" + "".join(f"s{i},{i + 0.5}" + (f",F{i % 3}" if family else "") + "\n" for i in range(n)))
     (folder / "map.csv").write_text("snp_id,gene_id,chromosome\n" + "".join(f"{j},{j % 2},9\n" for j in range(m)))
-    return x, str(folder / "y.csv"), str(folder / "X_genotype_int8.npy"), str(folder / "map.csv")
+    return x, str(folder / "y.csv"), str(folder / "matrix.npy"), str(folder / "map.csv")
 
 
 @pytest.mark.parametrize("family", [True, False])
