@@ -223,3 +223,33 @@ def test_fifty_thousand_markers(spark):
         assert np.allclose(np.frombuffer(r["effects"]), z[own].T @ alpha / r["denominator"], atol=1e-7) and r["residual"] < 1e-8 and r["n_retained"] > 45_000
         got = {x["sample_name"]: x["predicted_yield_kg_ha"] for x in oof.filter(f"family_id = '{r['held_out_family']}'").collect()}
         assert np.allclose([got[f"s{i:03d}"] for i in np.flatnonzero(~own)], r["intercept"] + z[~own] @ z[own].T @ alpha / r["denominator"], rtol=1e-6)
+
+
+@pytest.mark.parametrize("part", ["train", "test", "own"])
+def test_sums_of_relationships_without_their_cells(made, part):
+    dosage, samples, x, y, family, geno = made
+    stats = markers.filter_blup(markers.lofo_marker_stats(dosage, samples))
+    cells = gram.fold_relationships(geno, stats, part, jitter=0.5, block=10).toPandas()
+    cells["w"] = cells["value"] * (cells["sample_j"] % 5)
+    names = {r["sample_pos"]: r["sample_id"] for r in geno.select("sample_pos", "sample_id").collect()}
+    want = {(f, names[i]): (len(g), g["w"].sum(), g["value"][g["sample_i"] == g["sample_j"]].sum()) for (f, i), g in cells.groupby(["fold", "sample_i"])}
+    weighted = geno.withColumn("weight", geno["sample_pos"] % 5)
+    got = {(r["fold"], r["sample_i"]): (r["n"], r["row_sum"], r["diagonal"] or 0.0) for r in gram.relationship_sums(weighted, stats, part, jitter=0.5, parts=3).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert gram.relationship_sums(weighted.limit(0), stats, part).count() == 0
+
+
+def test_sums_of_many_samples(spark):
+    """Nine matrices of 40 000 x 36 000 cells or so, of which none is made."""
+    rng = np.random.default_rng(3)
+    n, m = 40_000, 8
+    x = rng.integers(-1, 2, (n, m)).astype(np.int8)
+    geno = spark.createDataFrame([(f"F{i % 10}", f"s{i}", i, i % 7, x[i].tobytes()) for i in range(n)], "family_id string, sample_id string, sample_pos long, weight long, dosages binary").repartition(4)
+    stats = spark.createDataFrame([(f"F{f}", j, 0.25 * j / m, (0.25 * j / m + 1) / 2, j != 3) for f in range(10) for j in range(m)], "held_out_family string, marker_pos int, mean double, allele_freq double, retained boolean")
+    got = gram.relationship_sums(geno, stats, "train").filter("sample_i = 's12345'").collect()
+    mean, keep = 0.25 * np.arange(m) / m, np.arange(m) != 3
+    z, p = (x - mean)[:, keep], (mean[keep] + 1) / 2
+    for r in got:
+        own = np.arange(n) % 10 != int(r["fold"][1:])
+        assert r["n"] == own.sum() and np.isclose(r["row_sum"], z[12345] @ (z[own].T @ (np.arange(n)[own] % 7)) / (2 * p * (1 - p)).sum())
+    assert len(got) == 9
