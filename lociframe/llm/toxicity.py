@@ -6,8 +6,9 @@ likeliest reading, of any length. Letters apart are also read with word ends (th
 by the evidence of its restored words: log odds of words and word beginnings learnt from labelled rows, and a
 logistic calibration of the strongest ones.
 
-Trained on at most SAMPLE labelled rows (chosen by the hash of their id), of which counts are summed by Spark; every
-document is scored whole. Only the text is an input of the score.
+Trained on all labelled rows: Spark sums their counts, and the sums of each step of the calibration, so the driver holds the
+words that count as evidence, at most 27 ** 3 letter trigrams and one row a step. Every document is scored whole. Only the
+text is an input of the score.
 
 Defined edge cases: a null or empty text gets the score of a text without evidence; labels that are null are left out
 and repeated labels of one id count once (the higher one); without labelled rows of both kinds every score is the
@@ -23,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .tables import fresh, table
+from .ids import split_rows
+from .tables import discard, fresh, table, written
 from .text import Chunk, chunks, mix, span_hashes
 
-#: Labelled rows used for training, at most; words and word beginnings that count as evidence, at most.
-SAMPLE = 12_000
 #: A feature must occur in this many toxic rows, with this log odds.
 MIN_ROWS, MIN_ODDS = 4, 2.0
 THRESHOLD = 0.7
@@ -306,44 +306,56 @@ def _train_parts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "feature long, gram string, n long, bad long").groupBy("feature", "gram").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the intercept comes first."""
-    x = np.concatenate((np.ones((len(x), 1)), x), 1)
-    w = np.zeros(x.shape[1])
+def fit_logistic(seen: DataFrame, columns: list[str], n: int, start: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression of toxic on columns by Newton steps; the intercept comes first. seen: toxic, columns and
+    count; n: the sum of count. A step is one pass, of which one row reaches the driver."""
+    x = [F.lit(1.0), *[F.col(c) for c in columns]]
+    k, w, shrink = len(x), start, ridge * n / 100
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) / 100 * np.eye(len(w)) + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * len(x) / 100 * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        z = sum((F.lit(float(v)) * c for v, c in zip(w[1:], x[1:])), F.lit(float(w[0])))
+        step = seen.withColumn("_p", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+        gap, spread = F.col("count") * (F.col("toxic") - F.col("_p")), F.col("count") * F.col("_p") * (1 - F.col("_p"))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = step.agg(*[F.sum(gap * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(spread * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        h = shrink * np.eye(k) + 1e-9 * np.eye(k)
+        for (i, j), value in zip(pairs, sums[k:]):
+            h[i, j] += value
+            if i != j:
+                h[j, i] += value
+        move = np.linalg.solve(h, np.array(sums[:k]) - shrink * w)
+        w = w + move
+        if np.abs(move).max() < 1e-8:
             break
     return w
 
 
-def fit_increasing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def fit_increasing(seen: DataFrame, columns: list[str], n: int) -> np.ndarray:
     """fit_logistic without negative weights: more evidence never lowers a score."""
-    use = np.arange(x.shape[1])
+    use, start = np.arange(len(columns)), np.zeros(1 + len(columns))
     while True:
-        w = fit_logistic(x[:, use], y)
+        w = fit_logistic(seen, [columns[i] for i in use], n, start)
         if not len(use) or (w[1:] >= 0).all():
-            out = np.zeros(1 + x.shape[1])
+            out = np.zeros(1 + len(columns))
             out[0], out[1 + use] = w[0], w[1:]
             return out
-        use = np.delete(use, w[1:].argmin())
-
-
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, lexicon: int | None = None) -> ToxicityModel:
-    """A model from the labelled rows; labels: key and label. At most `sample` of them are used, and the `lexicon` strongest
-    words and beginnings (None: all)."""
-    chosen = (
-        labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64(key), key).limit(sample).collect()
-    )
-    spark = documents.sparkSession
-    few = spark.createDataFrame([(r[0], r[1]) for r in chosen], f"`{key}` {labels.schema[key].dataType.simpleString()}, toxic int")
-    rows = documents.select(key, F.col(text).alias("t")).join(F.broadcast(few), key).select("t", "toxic")
-    total, bad = len(chosen), sum(r[1] for r in chosen)
+        worst = w[1:].argmin()
+        use, start = np.delete(use, worst), np.delete(w, 1 + worst)
+
+
+def labelled(documents: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """t and toxic of the documents that marked (key, toxic) has, written; a bitmap keeps most other texts out of the join."""
+    name = lambda df: F.xxhash64(df[key].cast("string"))
+    slim = documents.select(F.col(key), F.col(text).alias("t"))
+    near = split_rows(slim.withColumn("_h", name(slim)), marked.select(name(marked).alias("_h")), "_h")[1]
+    return written(near.join(marked, key).select("t", "toxic"), "labelled")
+
+
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lexicon: int | None = None) -> ToxicityModel:
+    """A model from all labelled rows; labels: key and label. The `lexicon` strongest words and beginnings are used (None: all)."""
+    marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
+    total, bad = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = bad / total if total else 0.0
+    rows = labelled(documents, marked, key, text)
     counts = _train_parts(rows).filter(F.col("gram").isNotNull() | (F.col("bad") >= MIN_ROWS))
     # Log odds of a feature between toxic and other rows.
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total - bad + 1.0))
@@ -356,11 +368,13 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     words = sorted((r["feature"] % 2**64, min(r["odds"], 6.0)) for r in got if r["gram"] is None)
     model = ToxicityModel(chars, np.array([k for k, _ in words], np.uint64), np.array([w for _, w in words]), None, base)
     if 0 < bad < total:
-        seen = with_evidence(rows, model, ["toxic"], "t").groupBy("toxic", "e0", "e1", "e2", "e3").count().collect()
-        if len({r["toxic"] for r in seen}) == 2:  # labelled rows of both kinds are among the documents
-            times = [r["count"] for r in seen]
-            x = np.repeat(np.array([[r[f"e{i}"] for i in range(4)] for r in seen]), times, 0)
-            model.beta = fit_increasing(x, np.repeat([r["toxic"] for r in seen], times))
+        columns = [f"e{i}" for i in range(4)]
+        seen = written(with_evidence(rows, model, ["toxic"], "t").groupBy("toxic", *columns).count(), "evidence")
+        kinds = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.sum("count").alias("n")).collect()}
+        if len(kinds) == 2:  # labelled rows of both kinds are among the documents
+            model.beta = fit_increasing(seen, columns, sum(kinds.values()))
+        discard(seen)
+    discard(rows)
     return model
 
 

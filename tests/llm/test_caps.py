@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 from helpers import documents, prose
+from pyspark.sql import functions as F
 
 from lociframe.llm import html, minhash, toxicity
 from test_operators import brute_components, shingle_set
@@ -73,3 +75,26 @@ def test_long_pages_train(spark):
     assert sum(t in got for t in body) > 0.95 * len(body)
     # Beyond the bound on characters a page is passed over, and the rest still serve.
     assert all((a == b).all() for a, b in zip(html.train(df, texts, chars=1000), prior))
+
+
+def test_labels_beyond_twelve_thousand_are_learnt(spark):
+    """Four toxic rows of the last ones by the hash of their id have a word of their own."""
+    n = 12_100
+    order = [r["doc_id"] for r in spark.range(n).toDF("doc_id").orderBy(F.xxhash64("doc_id").desc()).limit(4).collect()]
+    bad = set(order) | set(range(0, n, 50))
+    rows = [(i, f"alpha beta w{i % 97} " + ("zorgon" if i in order else "idiot" if i in bad else "omega")) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(n)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, rows), labels)
+    got = {r["doc_id"]: r["e2"] for r in toxicity.with_evidence(documents(spark, [(1, "a zorgon"), (2, "an idiot"), (3, "an omega")]), model, ["doc_id"], "text").collect()}
+    assert got[1] >= 1 and got[2] >= 1 and got[3] == 0
+
+
+def test_calibration_in_passes_is_ridge_regression(spark):
+    r = random.Random(5)
+    rows = [(int(r.random() < 0.3 + 0.1 * k), float(k), float(k % 3)) for k in (r.randrange(6) for _ in range(400))]
+    seen = spark.createDataFrame(rows, "toxic int, e0 double, e1 double").groupBy("toxic", "e0", "e1").count()
+    w = toxicity.fit_logistic(seen, ["e0", "e1"], 400, np.zeros(3))
+    x, y = np.array([(1, a, b) for _, a, b in rows]), np.array([t for t, *_ in rows])
+    assert np.allclose(x.T @ (y - 1 / (1 + np.exp(-x @ w))), 1e-2 * 4 * w, atol=1e-5)
+    low = spark.createDataFrame([(t, -a, b) for t, a, b in rows], "toxic int, e0 double, e1 double").groupBy("toxic", "e0", "e1").count()
+    assert (toxicity.fit_increasing(low, ["e0", "e1"], 400)[1:] >= 0).all()
