@@ -306,24 +306,32 @@ def _train_parts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "feature long, gram string, n long, bad long").groupBy("feature", "gram").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def fit_logistic(seen: DataFrame, columns: list[str], n: int, start: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression of toxic on columns by Newton steps; the intercept comes first. seen: toxic, columns and
-    count; n: the sum of count. A step is one pass, of which one row reaches the driver."""
+def fit_logistic(seen: DataFrame, columns: list[str], n: int, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression of toxic on columns by Newton steps, halved where the loss would rise; the intercept comes
+    first. seen: toxic, columns and count; n: the sum of count. A step is one pass, of which one row reaches the driver."""
     x = [F.lit(1.0), *[F.col(c) for c in columns]]
-    k, w, shrink = len(x), start, ridge * n / 100
+    k, w, shrink = len(x), np.zeros(len(x)), ridge * n / 100
+    lowest, before, move = np.inf, w, w
     for _ in range(steps):
         z = sum((F.lit(float(v)) * c for v, c in zip(w[1:], x[1:])), F.lit(float(w[0])))
-        step = seen.withColumn("_p", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+        step = seen.withColumn("_z", z).withColumn("_p", 1 / (1 + F.exp(-F.greatest(F.least("_z", F.lit(30.0)), F.lit(-30.0)))))
+        loss = F.col("count") * (F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - F.col("toxic") * F.col("_z"))
         gap, spread = F.col("count") * (F.col("toxic") - F.col("_p")), F.col("count") * F.col("_p") * (1 - F.col("_p"))
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        sums = step.agg(*[F.sum(gap * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(spread * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        sums = step.agg(*[F.sum(gap * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(spread * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs], F.sum(loss).alias("loss")).first()
+        now = sums["loss"] + shrink / 2 * w @ w
+        if now > lowest + 1e-9 * abs(lowest):
+            move = move / 2
+            w = before + move
+            continue
+        lowest, before = now, w
         h = shrink * np.eye(k) + 1e-9 * np.eye(k)
-        for (i, j), value in zip(pairs, sums[k:]):
+        for (i, j), value in zip(pairs, sums[k:-1]):
             h[i, j] += value
             if i != j:
                 h[j, i] += value
         move = np.linalg.solve(h, np.array(sums[:k]) - shrink * w)
-        w = w + move
+        w = before + move
         if np.abs(move).max() < 1e-8:
             break
     return w
@@ -331,15 +339,14 @@ def fit_logistic(seen: DataFrame, columns: list[str], n: int, start: np.ndarray,
 
 def fit_increasing(seen: DataFrame, columns: list[str], n: int) -> np.ndarray:
     """fit_logistic without negative weights: more evidence never lowers a score."""
-    use, start = np.arange(len(columns)), np.zeros(1 + len(columns))
+    use = np.arange(len(columns))
     while True:
-        w = fit_logistic(seen, [columns[i] for i in use], n, start)
+        w = fit_logistic(seen, [columns[i] for i in use], n)
         if not len(use) or (w[1:] >= 0).all():
             out = np.zeros(1 + len(columns))
             out[0], out[1 + use] = w[0], w[1:]
             return out
-        worst = w[1:].argmin()
-        use, start = np.delete(use, worst), np.delete(w, 1 + worst)
+        use = np.delete(use, w[1:].argmin())
 
 
 def labelled(documents: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:

@@ -93,8 +93,15 @@ def test_calibration_in_passes_is_ridge_regression(spark):
     r = random.Random(5)
     rows = [(int(r.random() < 0.3 + 0.1 * k), float(k), float(k % 3)) for k in (r.randrange(6) for _ in range(400))]
     seen = spark.createDataFrame(rows, "toxic int, e0 double, e1 double").groupBy("toxic", "e0", "e1").count()
-    w = toxicity.fit_logistic(seen, ["e0", "e1"], 400, np.zeros(3))
+    w = toxicity.fit_logistic(seen, ["e0", "e1"], 400)
     x, y = np.array([(1, a, b) for _, a, b in rows]), np.array([t for t, *_ in rows])
     assert np.allclose(x.T @ (y - 1 / (1 + np.exp(-x @ w))), 1e-2 * 4 * w, atol=1e-5)
     low = spark.createDataFrame([(t, -a, b) for t, a, b in rows], "toxic int, e0 double, e1 double").groupBy("toxic", "e0", "e1").count()
     assert (toxicity.fit_increasing(low, ["e0", "e1"], 400)[1:] >= 0).all()
+
+
+def test_calibration_of_apart_classes_stays_finite(spark):
+    rows = [(0, 0.0, 0.0, 23_000), (0, 2.0, 1.0, 30), (1, 6.0, 20.0, 2_700), (1, 6.0, 11.0, 40), (1, 0.0, 0.0, 80)]
+    seen = spark.createDataFrame(rows, "toxic int, e0 double, e1 double, count long")
+    w = toxicity.fit_increasing(seen, ["e0", "e1"], sum(r[3] for r in rows))
+    assert np.isfinite(w).all() and w[0] < 0 < w[0] + 6 * w[1] + 20 * w[2]
