@@ -30,8 +30,10 @@ def empty_ids(df: DataFrame, id_col: str, pos_col: str, kind: str) -> DataFrame:
     return _violation(bad, "empty id", kind, F.col("ids"))
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Key values that occur more than once, with their number."""
+def duplicates(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Key values that occur more than once, with their number. With parts, keys are dealt over so many tasks, whatever the
+    session's number: a task's table of keys is a share of all of them."""
+    df = df if parts is None else df.select(*keys).repartition(parts, *keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
