@@ -76,9 +76,15 @@ def smoothing_operator(marker_genes: DataFrame, weights: DataFrame, hops: int =
     return out
 
 
-def applied(dosage: DataFrame, operator: DataFrame) -> DataFrame:
+def applied(dosage: DataFrame, operator: DataFrame, parts: int | None = None) -> DataFrame:
     """family_id, sample_id, gene_id, x: smoothed gene values of each sample (missing dosages as 0), for the genes that a
-    marker reaches; the others are 0."""
+    marker reaches; the others are 0.
+
+    With parts, samples are dealt over so many tasks, to each of which the whole operator goes (for one of few rows): a
+    sample's values are summed where its dosages are, and a task's table of sums is a share of all of them.
+    """
+    if parts is not None:
+        dosage, operator = dosage.select("family_id", "sample_id", "marker_pos", "dosage").repartition(parts, "family_id", "sample_id"), F.broadcast(operator)
     x = F.coalesce(F.col("dosage").cast("double"), F.lit(0.0))
     return dosage.join(operator, "marker_pos").groupBy("family_id", "sample_id", "gene_id").agg(F.sum(x * F.col("w")).alias("x"))
 

@@ -301,3 +301,22 @@ def test_hash_tree_finds_what_differs(spark):
     assert metrics.compare_models(oof, oof, tree_a=whole, tree_b=whole).count() == 5
     with pytest.raises(ValueError, match=r"'A', 0, 255"):
         metrics.compare_models(oof, oof, tree_a=whole, tree_b=folds.sample_tree(swapped).persist())
+
+
+def test_smoothing_sums_where_a_sample_is(spark):
+    weights, _ = graph_of(spark)
+    dosage, *_ = panel(spark, families=2, per=4, m=6, missing=0.2)
+    genes = spark.createDataFrame([(0, 0), (1, 0), (2, 7), (3, 25), (4, 30), (5, 7)], "marker_pos int, gene_id int")
+    operator = graph.smoothing_operator(genes, weights, 1)
+    rows = lambda df: {tuple(r)[:3]: r["x"] for r in df.collect()}
+    want, dealt = rows(graph.applied(dosage, operator)), graph.applied(dosage, operator, 7)
+    got = rows(dealt)
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want) and dealt.rdd.getNumPartitions() == 7
+
+
+def test_duplicates_in_parts(spark):
+    from lociframe.operators import qc
+
+    df = spark.range(1000).selectExpr("id % 400 as a", "id % 2 as b")
+    dealt = qc.duplicates(df, ["a", "b"], 9)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, qc.duplicates(df, ["a", "b"]).collect())) and dealt.rdd.getNumPartitions() == 9
