@@ -37,12 +37,16 @@ def gene_means(dosage: DataFrame, marker_genes: DataFrame) -> DataFrame:
     return every.join(means, ["family_id", "sample_id", "gene_id"], "left").withColumn("x", F.coalesce("m", F.lit(0.0))).drop("m")
 
 
-def smoothing_weights(edges: DataFrame, genes: DataFrame) -> DataFrame:
-    """source, target, w of the normalised adjacency with self loops: 1 / sqrt(degree(source) * degree(target))."""
+def smoothing_weights(edges: DataFrame, genes: DataFrame, parts: int | None = None) -> DataFrame:
+    """source, target, w of the normalised adjacency with self loops: 1 / sqrt(degree(source) * degree(target)). With parts,
+    edges are dealt over so many tasks by their ends."""
     loops = genes.select(F.col("gene_id").alias("source"), F.col("gene_id").alias("target"))
     full = edges.select("source", "target").unionByName(loops)
+    full = full if parts is None else full.repartition(parts, "source")
     degree = full.groupBy("source").agg(F.count(F.lit(1)).alias("d"))
-    out = full.join(degree, "source").withColumnRenamed("d", "ds").join(degree.withColumnsRenamed({"source": "target", "d": "dt"}), "target")
+    out = full.join(degree, "source").withColumnRenamed("d", "ds")
+    out = out if parts is None else out.repartition(parts, "target")
+    out = out.join(degree.withColumnsRenamed({"source": "target", "d": "dt"}), "target")
     return out.select("source", "target", (1 / F.sqrt(F.col("ds") * F.col("dt"))).alias("w"))
 
 
