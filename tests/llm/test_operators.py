@@ -240,6 +240,15 @@ def test_stretches_keep_48_bits():
     assert len(data) == 6000 and np.array_equal(substrings.widened(data), h >> np.uint64(16)) and len(substrings.widened(b"")) == 0
 
 
+def test_stretches_of_candidates_go_to_their_leaders(spark):
+    """A candidate's own hashes come with its leader's place, and a leader's stretch once; they meet in a single join."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60))) for i in (1, 2, 3)], "id long, t string")
+    found = spark.createDataFrame([(2, 1, -3, 50, 0, 49), (3, 1, 0, 50, 0, 49), (3, 2, 0, 50, 0, 50)], "id long, leader long, l int, r int, ll int, lr int")
+    got = {(r["id"], r["l"], r["r"], r["leader"], r["ll"], r["lr"]): substrings.widened(bytes(r["h"])) for r in substrings.stretches(docs, found).collect()}
+    assert got.keys() == {(2, -3, 50, 1, 0, 49), (3, 0, 50, 1, 0, 49), (3, 0, 50, 2, 0, 50), (1, 0, 49, None, None, None), (2, 0, 50, None, None, None)}
+    assert all(len(h) == k[2] + 1 - max(k[1], 0) and (h == got[2, 0, 50, None, None, None][: len(h)]).all() for k, h in got.items())
+
+
 def test_windows_of_one_repeated_word_are_linear():
     import time
 
