@@ -1,6 +1,6 @@
 """Mixing a corpus to target token weights by domain, with soft domain membership.
 
-A classifier trained on a labelled table gives each document a posterior over domains; its tokens count towards every
+A classifier trained on all rows of a labelled table gives each document a posterior over domains; its tokens count towards every
 domain by that share. Nonnegative rates (0 to 1: how likely a document is kept) are then fitted so that the expected
 tokens of the domains meet targets given as weights of the mixture: least squares of the gaps (squared, over the tokens the
 domain has) by projected gradient, from all rates at 1, with momentum that starts anew where it would lead away.
@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .tables import fresh, table, written
+from .ids import split_rows
+from .tables import discard, fresh, table, written
 from .text import U64, chunks, mix
 
-#: Labelled rows used for training, at most; steps, at most.
-SAMPLE, STEPS = 12_000, 150
+#: Steps of the rates, at most.
+STEPS = 150
 #: Target weights of the query's mixture: good text by language, and text of low quality.
 WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.1, "low": 0.05}
 #: Tokens of a mixture, as a share of what its scarcest domain allows: with soft membership its documents are others' too.
@@ -96,19 +97,52 @@ def described(c) -> np.ndarray:
     return out
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1e-3, steps: int = 400, rate: float = 0.5) -> np.ndarray:
-    """Multinomial logistic regression by Adam steps; the intercept comes first."""
-    x = np.concatenate((np.ones((len(x), 1), x.dtype), x), 1)
-    w, first, second = np.zeros((x.shape[1], k), x.dtype), 0.0, 0.0
-    target = np.eye(k, dtype=x.dtype)[y]
-    for t in range(1, steps + 1):
-        z = x @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = x.T @ (target - p) / len(x) - ridge * w
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        w = w + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return w.astype(float)
+def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
+    """The sum over rows (y, x: class and features) of what part(x, y) gives for a batch: `size` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)
+                out += part(np.concatenate((np.ones((len(x), 1)), x), 1), batch.column(0).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], names=["i", "s"])
+
+    out = np.zeros(size)
+    for r in rows.select("y", "x").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        out[r["i"]] = r["s"]
+    return out
+
+
+def fit_softmax(rows: DataFrame, n: int, k: int, width: int, ridge: float = 1e-3, steps: int = 200, tolerance: float = 1e-3) -> np.ndarray:
+    """Multinomial logistic regression of y (0 to k - 1) on x (`width` 32-bit floats) of n rows; the intercept comes first.
+
+    Each step is one distributed sum of the gradient; it is divided by a bound of the second derivatives that one pass adds up, so
+    no step overshoots, with momentum that starts anew where it leads away. Ends when the gradient is within the tolerance."""
+    m = width + 1
+    bound = _summed(rows, lambda x, y: (x.T @ x).ravel(), m * m).reshape(m, m) / (2 * n) + ridge * np.eye(m)
+    w = ahead = np.zeros((m, k))
+    speed = 1.0
+
+    def slope(at: np.ndarray) -> np.ndarray:
+        def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = x @ at
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            return (x.T @ (np.eye(k)[y] - p)).ravel()
+
+        return _summed(rows, part, m * k).reshape(m, k) / n - ridge * at
+
+    for _ in range(steps):
+        g = slope(ahead)
+        now = ahead + np.linalg.solve(bound, g)
+        if np.abs(g).max() < tolerance:
+            return now
+        if (g * (now - w)).sum() < 0:
+            speed = 1.0
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        w, ahead, speed = now, now + (speed - 1) / faster * (now - w), faster
+    return w
 
 
 def _featured(df: DataFrame, keep: list[str], text: str, model: DomainModel | None) -> DataFrame:
@@ -128,18 +162,23 @@ def _featured(df: DataFrame, keep: list[str], text: str, model: DomainModel | No
     return slim.mapInArrow(run, schema)
 
 
-def train(documents: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DomainModel | None:
-    """A domain classifier from labels (key and what `domain` is made of); at most `sample` ids are used, those of least
-    hash (of rows that repeat an id, the least text)."""
-    chosen = labels.select(key, domain.alias("d")).filter(F.col("d").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("d").alias("d")).orderBy(F.xxhash64(key), key).limit(sample).collect()
-    few = documents.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], f"`{key}` {labels.schema[key].dataType.simpleString()}, d string")
-    chosen_texts = documents.select(key, F.col(text).cast("string").alias("t")).join(F.broadcast(few), key).groupBy(key, "d").agg(F.min("t").alias("t"))
-    rows = _featured(chosen_texts, ["d"], "t", None).collect()
-    names = sorted({r["d"] for r in rows})
-    if len(names) < 2:
-        return None
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
-    return DomainModel(names, fit_softmax(x, np.array([names.index(r["d"]) for r in rows]), len(names)))
+def train(documents: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id", text: str = "text") -> DomainModel | None:
+    """A domain classifier from all labelled rows (key and what `domain` is made of); of rows that repeat an id, the least text
+    and domain. A bitmap keeps most other texts out of the join."""
+    marked = labels.select(key, domain.alias("d")).filter(F.col("d").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("d").alias("d"))
+    name = lambda df: F.xxhash64(df[key].cast("string"))
+    slim = documents.select(key, F.col(text).cast("string").alias("t"))
+    near = split_rows(slim.withColumn("_h", name(slim)), marked.select(name(marked).alias("_h")), "_h")[1]
+    texts = near.join(marked, key).groupBy(key, "d").agg(F.min("t").alias("t"))
+    rows = written(_featured(texts, ["d"], "t", None), "features")
+    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(sizes)
+    model = None
+    if len(names) > 1:
+        y = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("d")) - 1
+        model = DomainModel(names, fit_softmax(rows.select(y.alias("y"), "x"), sum(sizes.values()), len(names), N_FEATURES))
+    discard(rows)
+    return model
 
 
 Step = tuple[np.ndarray, float]

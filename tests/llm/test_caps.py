@@ -7,7 +7,7 @@ import pytest
 from helpers import documents, prose
 from pyspark.sql import functions as F
 
-from lociframe.llm import html, minhash, toxicity
+from lociframe.llm import html, minhash, mixing, toxicity
 from test_operators import brute_components, shingle_set
 
 
@@ -105,3 +105,15 @@ def test_calibration_of_apart_classes_stays_finite(spark):
     seen = spark.createDataFrame(rows, "toxic int, e0 double, e1 double, count long")
     w = toxicity.fit_increasing(seen, ["e0", "e1"], sum(r[3] for r in rows))
     assert np.isfinite(w).all() and w[0] < 0 < w[0] + 6 * w[1] + 20 * w[2]
+
+
+def test_domains_beyond_twelve_thousand_labels_are_learnt(spark):
+    """A domain whose labels are the last ones by the hash of their id."""
+    n = 12_200
+    last = {r["doc_id"] for r in spark.range(n).toDF("doc_id").orderBy(F.xxhash64("doc_id").desc()).limit(200).collect()}
+    rows = [(i, f"alpha w{i % 7} " + ("zorgon # # #" if i in last else "beta gamma" if i % 2 else "omega psi")) for i in range(n)]
+    labels = spark.createDataFrame([(i, "rare" if i in last else "odd" if i % 2 else "even") for i in range(n)], "doc_id long, d string")
+    model = mixing.train(documents(spark, rows), labels, F.col("d"))
+    assert model.domains == ["even", "odd", "rare"]
+    rates = mixing._featured(documents(spark, [(1, "alpha w1 beta gamma"), (2, "alpha w2 omega psi"), (3, "alpha w3 zorgon # # #")]), ["doc_id"], "text", model).collect()
+    assert {r["doc_id"]: model.domains[int(np.argmax(r["x"]))] for r in rates} == {1: "odd", 2: "even", 3: "rare"}
